@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from . import feistel_shards, mixing
+from . import decision_list, feistel_shards, length_histogram, line_dedup, mixing, packing
 
 
 def queries() -> dict:
     return {
+        "op1_curve_packing": packing.op1_curve_packing,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op7_quality_rules": decision_list.op7_quality_rules,
+        "op8_length_histogram": length_histogram.op8_length_histogram,
         "op9_feistel_shards": feistel_shards.op9_feistel_shards,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.ORACLE_SQL}
+    return {
+        "op3_line_dedup": line_dedup.ORACLE_SQL,
+        "op10_mixing": mixing.ORACLE_SQL,
+    }
