@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, whole_text, words, written
+from .common import BLANKS, dropped, whole_text, words, written
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -48,7 +48,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_starts", F.array_sort(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(F.transform("_starts", lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col("_starts"), k + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
     chars = F.length(text)
-    return out.withColumns(
+    out = out.withColumns(
         {
             "n_words": size.cast("long"),
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
@@ -60,8 +60,13 @@ def with_counts(docs: DataFrame) -> DataFrame:
             "_marks": (chars - F.length(_without(text, "!?"))).cast("long"),
             "_digits": (chars - F.length(F.regexp_replace(text, "[0-9]+", ""))).cast("long"),
             "_distinct": F.size(F.array_distinct("_words")).cast("long"),
+            "_barrier": F.monotonically_increasing_id(),
         }
-    ).drop("_words", "_lines", "_windows", "_starts")
+    )
+    # the counts lean on a column that isn't deterministic: else a filter on them would be pushed below the arrays, and
+    # these worked out anew for every word
+    guarded = {c: F.when(F.col("_barrier") >= 0, F.col(c)) for c in (*BASE, *COUNTED)}
+    return out.drop("_words", "_lines", "_windows", "_starts").withColumns(guarded).drop("_barrier")
 
 
 COUNTED = ("_n_lines", "_capitals", "_marks", "_digits", "_distinct")
@@ -123,35 +128,49 @@ def learn(labelled: DataFrame, most_rules: int = MOST_RULES, least_rows: int = L
     # of rows of each kind, so that thresholds lie also where the rare kind is
     bad_cuts = labelled.where("bad = 1").agg(*[F.percentile(f, [(k + 1) / (CUTS + 1) for k in range(CUTS)]).alias(f) for f in names]).first()
     grid = {f: sorted({math.floor(x) for row in (cuts, bad_cuts) for x in (row[f] or [])} | ({cuts[f"_{f}"]} if cuts[f"_{f}"] is not None else set())) for f in names}
-    as_is = {f: F.col(f) for f in names}
-    long_form = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), sum([F.when(F.col(f) > t, 1).otherwise(0) for t in grid[f]], F.lit(0)).alias("bin")) for f in names if grid[f]])) if any(grid.values()) else None
-    if long_form is None:
+    names = [f for f in names if grid[f]]
+    if not names:
         return []
+    # from here on a feature is the number of its thresholds that it exceeds
+    bins = [sum([F.when(F.col(f) > t, 1).otherwise(0) for t in grid[f]], F.lit(0)).alias(f) for f in names]
+    rows = written(labelled.select("bad", "prune", *bins), "rule-bins")
+
+    def holds(c: Condition) -> Column:
+        k = grid[c[0]].index(c[2])
+        return F.col(c[0]) > k if c[1] == ">" else F.col(c[0]) <= k
+
+    def all_hold(rule: list[Condition]) -> Column:
+        out = F.lit(True)
+        for c in rule:
+            out = out & holds(c)
+        return out
+
+    one = lambda x: F.sum(x.cast("long"))
+    long_form = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("bin")) for f in names])).alias("at")
     rules: list[list[Condition]] = []
     left = F.lit(True)
     for _ in range(most_rules):
         rule: list[Condition] = []
-        pruned_at: list[tuple[int, int]] = []
+        on_pruning: list[tuple[int, int]] = []
         while len(rule) < MOST_CONDITIONS:
-            inside = labelled.where(left & conjunction(rule, as_is))
-            rows = inside.select("bad", "prune", long_form.alias("at")).groupBy("at.feature", "at.bin").agg(F.sum(F.when(~F.col("prune"), F.col("bad")).otherwise(0)).alias("bad"), F.sum(F.when(~F.col("prune"), 1).otherwise(0)).alias("all"), F.sum(F.when(F.col("prune"), F.col("bad")).otherwise(0)).alias("pbad"), F.sum(F.when(F.col("prune"), 1).otherwise(0)).alias("pall")).collect()
-            best = _best(rows, grid, least_rows)
-            if best is None:
+            by_bin = rows.where(left & all_hold(rule)).select("bad", "prune", long_form).groupBy("at.feature", "at.bin")
+            grow, cut = ~F.col("prune"), F.col("prune")
+            counts = by_bin.agg(one(grow & (F.col("bad") == 1)).alias("bad"), one(grow).alias("all"), one(cut & (F.col("bad") == 1)).alias("pbad"), one(cut).alias("pall")).collect()
+            best = _best(counts, grid, least_rows)
+            if best is None or best[0] <= 0:
                 break
-            gain, c, after = best
-            if gain <= 0:
-                break
-            rule.append(c)
-            pruned_at.append(after[2:])
-            if after[0] == after[1]:
+            rule.append(best[1])
+            on_pruning.append(best[2][2:])
+            if best[2][0] == best[2][1]:
                 break
         # reduced-error pruning: the shortest prefix of the best precision on the pruning rows
-        scores = [((b + 1) / (n + 2), -k) for k, (b, n) in enumerate(pruned_at)]
+        scores = [((b + 1) / (n + 2), -k) for k, (b, n) in enumerate(on_pruning)]
         if not scores or max(scores)[0] < least_precision:
             break
         rule = rule[: 1 - max(scores)[1]]
         rules.append(rule)
-        left = left & ~conjunction(rule, as_is)
+        left = left & ~all_hold(rule)
+    dropped(rows)
     return rules
 
 
@@ -199,7 +218,7 @@ def reject_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
     only_ids = labels.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
     sample = docs.select("doc_id", "text").join(only_ids, "doc_id", "left_semi")
-    rules = learn_from_labels(with_counts(sample), labels)
+    rules = learn_from_labels(written(with_counts(sample).drop("text"), "rule-counts"), labels)
     own = docs.select(F.struct("*").alias("_own"), F.col("text"))
     return judged(with_counts(own), rules).where("kept").select("_own.*")
 

@@ -117,8 +117,8 @@ def test_base_counts(docs, none, texts_list):
 
 def test_rules_find_planted_conjunctions(spark):
     rows = [(i % 100, i * 7 % 100, i * 13 % 50, int(i % 100 > 80 and i * 7 % 100 > 50 or i * 13 % 50 < 5), i % 3 == 0) for i in range(3000)]
-    labelled = spark.createDataFrame(rows, "symbols long, repeats long, words long, bad int, prune boolean")
-    rules = decision_list.learn(labelled)
+    labelled = spark.createDataFrame(rows, "symbols long, repeats long, words long, bad int, prune boolean").coalesce(1).cache()
+    rules = decision_list.learn(labelled, most_rules=4)
     columns = {f: F.col(f) for f in ("symbols", "repeats", "words")}
     judged = labelled.select("bad", decision_list.verdict(rules, columns).alias("kept"))
     right = judged.where((F.col("bad") == 0) == F.col("kept")).count()
