@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decision_list, feistel_shards, length_histogram, line_dedup, mixing, packing
+from . import decision_list, feistel_shards, length_histogram, line_dedup, minhash, mixing, mpeg_audio, packing
 
 
 def queries() -> dict:
     return {
         "op1_curve_packing": packing.op1_curve_packing,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_minhash": minhash.op4_minhash,
+        "op6_mpeg_audio": mpeg_audio.op6_mpeg_audio,
         "op7_quality_rules": decision_list.op7_quality_rules,
         "op8_length_histogram": length_histogram.op8_length_histogram,
         "op9_feistel_shards": feistel_shards.op9_feistel_shards,
