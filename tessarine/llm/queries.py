@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decision_list, feistel_shards, length_histogram, line_dedup, minhash, mixing, mpeg_audio, packing
+from . import decision_list, feistel_shards, length_histogram, line_dedup, minhash, mixing, mpeg_audio, packing, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_curve_packing": packing.op1_curve_packing,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_minhash": minhash.op4_minhash,
         "op6_mpeg_audio": mpeg_audio.op6_mpeg_audio,
@@ -20,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_line_dedup": line_dedup.ORACLE_SQL,
         "op10_mixing": mixing.ORACLE_SQL,
     }
