@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decision_list, feistel_shards, length_histogram, line_dedup, minhash, mixing, mpeg_audio, packing, suffix_dedup
+from . import crf_quality, decision_list, feistel_shards, length_histogram, line_dedup, minhash, mixing, mpeg_audio, packing, suffix_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_minhash": minhash.op4_minhash,
+        "op5_crf_quality": crf_quality.op5_crf_quality,
         "op6_mpeg_audio": mpeg_audio.op6_mpeg_audio,
         "op7_quality_rules": decision_list.op7_quality_rules,
         "op8_length_histogram": length_histogram.op8_length_histogram,
