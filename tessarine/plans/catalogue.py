@@ -1,11 +1,773 @@
-"""The catalogue of registered queries over the driver's tables, each with its SQL twin."""
+"""The catalogue of registered queries over the driver's tables, each with its SQL twin.
+
+Every query reads its tables whole. Doubles are rounded to 6 places on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import similarity, text
+from ..operators import blocking, compare, estimate, grounding, metrics, records, review, score
+from ..operators.cluster import components
+from ..proposals import chain, checks, confidence, declared, turtle
+from . import linkage
+
+PART_FIELDS = ["p_name", "p_brand", "p_type", "p_size"]
+M = 0.92
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql_input(spark: SparkSession, sf_dir: str, text_: str) -> DataFrame:
+    """Input rows made by SQL that both engines run."""
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        if name in text_:
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(text_)
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+# ---------------------------------------------------------------- linkage of parts
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("record_id"), F.col("p_partkey").alias("ord"), *PART_FIELDS)
+    return records.prepared(df, PART_FIELDS, folded=False)
+
+
+def measured(df: DataFrame, fields: list[str]) -> estimate.Parameters:
+    """Parameters with u measured over the population: a number a field comes to the driver."""
+    return estimate.from_non_match_agreement({r["field"]: r["u"] for r in estimate.non_match_agreement(df, fields).collect()}, M)
+
+
+def scored_parts(spark: SparkSession, sf_dir: str, fields: list[str] = PART_FIELDS, rules=(("p_name",),)) -> DataFrame:
+    df = parts(spark, sf_dir)
+    p = measured(df, fields)
+    pairs = compare.with_levels(blocking.blocked_pairs(df, [list(r) for r in rules]), {f: compare.EXACT for f in fields})
+    pairs = pairs.withColumn("llr", score.llr(p))
+    return pairs.withColumn("cls", score.classify(F.col("llr"))).withColumnsRenamed({"a_record_id": "id_a", "b_record_id": "id_b"})
+
+
+_PARTS = "parts AS (SELECT p_partkey AS id, upper(trim(p_name)) AS p_name, upper(trim(p_brand)) AS p_brand, upper(trim(p_type)) AS p_type, CAST(p_size AS STRING) AS p_size FROM part)"
+
+
+def _u(fields: list[str]) -> str:
+    one = lambda f: f"(SELECT least(0.99::DOUBLE, greatest(0.01::DOUBLE, sum(c * (c - 1))::DOUBLE / (sum(c)::DOUBLE * (sum(c)::DOUBLE - 1)))) FROM (SELECT count(*) AS c FROM parts WHERE {f} IS NOT NULL GROUP BY {f})) AS u_{f}"
+    return f"u AS (SELECT {', '.join(one(f) for f in fields)})"
+
+
+def _llr(fields: list[str]) -> str:
+    return " + ".join(f"CASE WHEN a.{f} = b.{f} THEN ln({M}::DOUBLE / u_{f}) WHEN a.{f} IS NULL OR b.{f} IS NULL THEN 0.0::DOUBLE ELSE ln((1 - {M})::DOUBLE / (1 - u_{f})) END" for f in fields)
+
+
+def _scored(fields: list[str] = PART_FIELDS, on: str = "a.p_name = b.p_name", more: str = "") -> str:
+    return f"{_PARTS}, {_u(fields)}, raw AS (SELECT a.id AS id_a, b.id AS id_b, {_llr(fields)} AS llr{more} FROM parts a JOIN parts b ON a.id < b.id AND ({on}) CROSS JOIN u), scored AS (SELECT *, CASE WHEN llr >= 4 THEN 'Match' WHEN llr <= -4 THEN 'NonMatch' ELSE 'GrayZone' END AS cls FROM raw)"
+
+
+@query(f"WITH {_scored()} SELECT id_a, id_b, round(llr, 6) AS llr, cls FROM scored")
+def link_parts_scored(spark, sf_dir):
+    """Parts of one name, compared on four fields with measured u."""
+    return rounded(scored_parts(spark, sf_dir).select("id_a", "id_b", "llr", "cls"), "llr")
+
+
+_TWO = "a.p_name = b.p_name OR (a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size)"
+
+
+@query(f"WITH {_scored(on=_TWO)} SELECT id_a, id_b, round(llr, 6) AS llr, cls FROM scored")
+def link_parts_two_rules(spark, sf_dir):
+    """Either rule brings a pair together; each pair comes once."""
+    return rounded(scored_parts(spark, sf_dir, rules=(("p_name",), ("p_brand", "p_type", "p_size"))).select("id_a", "id_b", "llr", "cls"), "llr")
+
+
+@query("SELECT a.s_suppkey AS id_a, b.s_suppkey AS id_b, CAST(a.s_nationkey = b.s_nationkey AS INT) AS g_nation FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey")
+def pairs_all_small(spark, sf_dir):
+    df = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), "s_nationkey")
+    return blocking.all_pairs(df).select(F.col("a_ord").alias("id_a"), F.col("b_ord").alias("id_b"), (F.col("a_s_nationkey") == F.col("b_s_nationkey")).cast("int").alias("g_nation"))
+
+
+@query("SELECT a.l_orderkey AS scope, a.l_linenumber AS line_a, b.l_linenumber AS line_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND NOT coalesce(a.l_returnflag <> b.l_returnflag, FALSE)")
+def pairs_scope_cannotlink(spark, sf_dir):
+    """Order lines of one order, unless their keys say that they differ."""
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("ord"), F.col("l_orderkey").alias("scope"), F.col("l_returnflag").alias("rkey"))
+    out = blocking.blocked_pairs(df, [["scope"]], predicate=blocking.may_be_same("scope", key="rkey"))
+    return out.select(F.col("a_scope").alias("scope"), F.col("a_ord").alias("line_a"), F.col("b_ord").alias("line_b"))
+
+
+@query(f"WITH {_PARTS}, k AS (SELECT p_brand, count(*) AS n FROM parts GROUP BY p_brand) SELECT p_brand AS block, n AS n_records, n * (n - 1) // 2 AS n_pairs FROM k WHERE p_brand IS NOT NULL")
+def block_size_report(spark, sf_dir):
+    return blocking.block_sizes(parts(spark, sf_dir), ["p_brand"])
+
+
+@query(f"WITH {_PARTS}, {_u(PART_FIELDS)} " + " UNION ALL ".join(f"SELECT '{f}' AS field, round(u_{f}, 6) AS u FROM u" for f in PART_FIELDS))
+def u_closed_form(spark, sf_dir):
+    return rounded(estimate.non_match_agreement(parts(spark, sf_dir), PART_FIELDS), "u")
+
+
+@query("WITH f AS (SELECT 'c_mktsegment' AS field, upper(trim(c_mktsegment)) AS value FROM customer UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS STRING) FROM customer) SELECT field, value, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY field), 6) AS share FROM f WHERE value IS NOT NULL GROUP BY field, value")
+def value_frequencies(spark, sf_dir):
+    fields = ["c_mktsegment", "c_nationkey"]
+    return rounded(estimate.value_frequencies(records.prepared(table(spark, sf_dir, "customer"), fields, False), fields), "share")
+
+
+@query(
+    f"WITH {_scored(more=', a.p_brand AS ba, b.p_brand AS bb, u_p_brand')}, share AS (SELECT p_brand, count(*)::DOUBLE / (SELECT count(*) FROM parts WHERE p_brand IS NOT NULL) AS s FROM parts GROUP BY p_brand) "
+    "SELECT id_a, id_b, round(llr + CASE WHEN ba = bb AND s IS NOT NULL THEN ln(u_p_brand / greatest(s, 0.01::DOUBLE)) ELSE 0 END, 6) AS llr FROM scored LEFT JOIN share ON scored.ba = share.p_brand"
+)
+def llr_frequency_adjusted(spark, sf_dir):
+    """A rare brand that agrees says more than a common one."""
+    df = parts(spark, sf_dir)
+    p = measured(df, PART_FIELDS)
+    shares = estimate.value_frequencies(df, ["p_brand"])
+    return rounded(score.frequency_adjusted(scored_parts(spark, sf_dir), p, shares, ["p_brand"]).select("id_a", "id_b", "llr"), "llr")
+
+
+_KNOWN_FIELDS = ["p_name", "p_brand", "p_type"]
+
+
+@query(
+    f"WITH {_PARTS}, {_u(_KNOWN_FIELDS)}, cross_pairs AS (SELECT a.id AS record_id, b.p_brand || '/' || b.p_type AS known_key, {_llr(_KNOWN_FIELDS)} AS llr FROM parts a JOIN parts b ON a.id % 2 = 1 AND b.id % 2 = 0 AND a.p_name = b.p_name CROSS JOIN u), "
+    "best AS (SELECT record_id, known_key, max(llr) AS llr FROM cross_pairs GROUP BY record_id, known_key) SELECT record_id, known_key, round(llr, 6) AS llr, CASE WHEN llr >= 4 THEN 'Match' ELSE 'GrayZone' END AS cls FROM best WHERE llr > -4"
+)
+def known_candidates_top1(spark, sf_dir):
+    """Odd parts against the known even ones, several records a key; the best pair counts."""
+    df = parts(spark, sf_dir)
+    p = measured(df, _KNOWN_FIELDS)
+    known = df.where("record_id % 2 = 0").withColumn("known_key", F.concat_ws("/", "p_brand", "p_type"))
+    pairs = compare.with_levels(blocking.blocked_cross(df.where("record_id % 2 = 1"), known, [["p_name"]]), {f: compare.EXACT for f in _KNOWN_FIELDS})
+    return rounded(score.known_candidates(pairs.withColumn("llr", score.llr(p)), "a_record_id", "b_known_key"), "llr")
+
+
+_CLUSTERS = "edges AS (SELECT id_a AS a, id_b AS b FROM scored WHERE cls = 'Match' UNION SELECT id_b, id_a FROM scored WHERE cls = 'Match'), reach AS (SELECT id AS record_id, id AS r FROM parts UNION SELECT reach.record_id, e.b FROM reach JOIN edges e ON reach.r = e.a), clusters AS (SELECT record_id, min(r) AS cluster_id FROM reach GROUP BY record_id)"
+
+
+def part_clusters(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    pairs = scored_parts(spark, sf_dir).select("id_a", "id_b", "llr", "cls")
+    return pairs, linkage.clusters_of(parts(spark, sf_dir), pairs.where(F.col("cls") == score.MATCH))
+
+
+@query(f"WITH RECURSIVE {_scored()}, {_CLUSTERS} SELECT record_id, cluster_id FROM clusters")
+def match_clusters(spark, sf_dir):
+    return part_clusters(spark, sf_dir)[1]
+
+
+@query(f"WITH RECURSIVE {_scored()}, {_CLUSTERS} SELECT id_a, id_b, round(llr, 6) AS llr FROM scored s JOIN clusters x ON s.id_a = x.record_id JOIN clusters y ON s.id_b = y.record_id WHERE s.cls = 'GrayZone' AND x.cluster_id <> y.cluster_id")
+def gray_crossing(spark, sf_dir):
+    pairs, clusters = part_clusters(spark, sf_dir)
+    labels = clusters.select(F.col("record_id").alias("node"), F.col("cluster_id").alias("component"))
+    return rounded(score.unresolved(pairs, labels).select("id_a", "id_b", "llr"), "llr")
+
+
+@query(f"WITH {_scored()} SELECT id_a, id_b, round(llr, 6) AS llr FROM scored WHERE cls = 'GrayZone' ORDER BY round(llr, 9) DESC, id_a, id_b LIMIT 200")
+def gray_budget_top(spark, sf_dir):
+    """The gray pairs that a review budget of 200 holds; the limit is the feature."""
+    gray = scored_parts(spark, sf_dir).where(F.col("cls") == score.GRAY).select("id_a", "id_b", F.round("llr", 9).alias("llr"))
+    return rounded(score.gray_budget(gray, gray.limit(0)).select("id_a", "id_b", "llr"), "llr")
+
+
+_PRIOR = 0.05
+_POST = f"(1.0::DOUBLE / (1.0::DOUBLE + exp(-(llr + ln({_PRIOR}::DOUBLE) - ln(1 - {_PRIOR}::DOUBLE)))))"
+
+
+@query(
+    f"WITH {_scored()}, p AS (SELECT cls, {_POST} AS p FROM scored), s AS (SELECT count(*) AS n_pairs, sum(p) AS em, sum(1 - p) AS en, sum(CASE WHEN cls = 'Match' THEN 1 - p ELSE 0 END) AS fm, sum(CASE WHEN cls = 'NonMatch' THEN p ELSE 0 END) AS fn, avg(CASE WHEN cls = 'GrayZone' THEN 1.0 ELSE 0.0 END) AS g, avg(CASE WHEN p > 0.2 AND p < 0.8 THEN 1.0 ELSE 0.0 END) AS am FROM p) "
+    "SELECT n_pairs, round(em, 6) AS expected_match, round(en, 6) AS expected_non_match, round(CASE WHEN en > 0 THEN fm / en ELSE 0 END, 6) AS false_match_rate, round(CASE WHEN em > 0 THEN fn / em ELSE 0 END, 6) AS false_non_match_rate, round(g, 6) AS gray_share, round(am, 6) AS ambiguous_share FROM s"
+)
+def error_rates(spark, sf_dir):
+    out = score.error_rates(scored_parts(spark, sf_dir), _PRIOR)
+    return rounded(out, *[c for c in out.columns if c != "n_pairs"])
+
+
+def _em_sql(rounds: int) -> str:
+    """Expectation maximisation over patterns of three exact fields, unrolled."""
+    f = ["p_brand", "p_type", "p_size"]
+    bound = lambda x: f"least(0.99::DOUBLE, greatest(0.01::DOUBLE, {x}))"
+    parts_ = [f"WITH {_PARTS}, pat AS (SELECT {', '.join(f'CAST(a.{c} = b.{c} AS INT) AS {c}' for c in f)}, count(*)::DOUBLE AS n FROM parts a JOIN parts b ON a.id < b.id AND a.p_name = b.p_name GROUP BY 1, 2, 3)", f"t0 AS (SELECT 0.5::DOUBLE AS prior, {', '.join(f'0.9::DOUBLE AS m_{c}, 0.1::DOUBLE AS u_{c}' for c in f)})"]
+    for k in range(rounds):
+        x = " + ".join(f"CASE WHEN {c} = 1 THEN ln(m_{c} / u_{c}) ELSE ln((1 - m_{c}) / (1 - u_{c})) END" for c in f)
+        parts_.append(f"r{k} AS (SELECT pat.*, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(ln(prior) - ln(1 - prior) + {x}))) AS r FROM pat CROSS JOIN t{k})")
+        parts_.append(f"t{k + 1} AS (SELECT (sum(n * r) + 0.5::DOUBLE) / (sum(n) + 1) AS prior, " + ", ".join(f"{bound(f'sum(n * r * {c}) / sum(n * r)')} AS m_{c}, {bound(f'sum(n * (1 - r) * {c}) / sum(n * (1 - r))')} AS u_{c}" for c in f) + f" FROM r{k})")
+    last = f"t{rounds}"
+    return ", ".join(parts_) + " " + " UNION ALL ".join(f"SELECT '{c}' AS field, round(m_{c}, 6) AS m, round(u_{c}, 6) AS u, round(prior, 6) AS prior FROM {last}" for c in f)
+
+
+@query(_em_sql(3))
+def em_three_rounds(spark, sf_dir):
+    """Three rounds of estimation from the pattern table."""
+    fields = ["p_brand", "p_type", "p_size"]
+    pairs = compare.with_levels(blocking.blocked_pairs(parts(spark, sf_dir), [["p_name"]]), {f: compare.EXACT for f in fields})
+    rows = [(tuple(r)[:-1], r["n"]) for r in compare.patterns(pairs, fields).collect()]
+    p = estimate.estimate(rows, dict.fromkeys(fields, 2), most_rounds=3, tolerance=1e-12, fixed_u=None)
+    m, u, prior = (p.u, p.m, 1 - p.prior) if p.swapped else (p.m, p.u, p.prior)
+    return spark.createDataFrame([(f, round(m[f][1], 6), round(u[f][1], 6), round(prior, 6)) for f in fields], "field string, m double, u double, prior double")
+
+
+@query("SELECT p_name AS record_id, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+def duplicate_record_ids(spark, sf_dir):
+    return records.duplicate_ids(table(spark, sf_dir, "part"), "p_name")
+
+
+# ---------------------------------------------------------------- documents and texts
+
+
+@query(
+    "WITH t AS (SELECT doc_id, lang, source, list_distinct(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{Nd}\\p{Mn}\\p{Mc}]+')) AS toks FROM documents), "
+    "p AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, len(list_intersect(a.toks, b.toks)) AS k, len(a.toks) AS na, len(b.toks) AS nb FROM t a JOIN t b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id), "
+    "j AS (SELECT id_a, id_b, CASE WHEN na + nb - k = 0 THEN 1.0 ELSE k::DOUBLE / (na + nb - k) END AS s FROM p) SELECT id_a, id_b, round(s, 6) AS jaccard, CAST(s >= 0.5 AS INT) + CAST(s >= 0.75 AS INT) + CAST(s >= 1.0 AS INT) AS g FROM j"
+)
+def token_jaccard_docs(spark, sf_dir):
+    """Documents of one language and source, by the overlap of their words; token sets are worked out once a document."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "lang", "source", F.array_distinct(text.tokens(F.coalesce("text", F.lit("")))).alias("toks"))
+    pairs = blocking.blocked_pairs(docs, [["lang", "source"]])
+    s = similarity.set_jaccard(F.col("a_toks"), F.col("b_toks"))
+    out = pairs.select(F.col("a_ord").alias("id_a"), F.col("b_ord").alias("id_b"), s.alias("jaccard"))
+    return rounded(out.withColumn("g", similarity.level(F.col("jaccard"), [0.5, 0.75, 1.0])), "jaccard")
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS group_id FROM documents WHERE text IS NOT NULL")
+def exact_copy_groups(spark, sf_dir):
+    """Equal texts as components of a star of equality links."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("h"))
+    heads = docs.groupBy("h").agg(F.min("doc_id").alias("a"))
+    links = docs.join(heads, "h").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    found = components(links).select(F.col("node").alias("doc_id"), "component")
+    return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_TOKS = lambda c: f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{Mn}}\\p{{Nd}}]+'), w -> length(w) >= 3 AND w NOT IN ({_STOP}))"
+
+
+@query(
+    f"WITH p AS (SELECT a.conv_id, a.turn, {_TOKS('a.text')} AS c, {_TOKS('q.text')} AS h FROM conversations a JOIN conversations q ON a.conv_id = q.conv_id AND q.turn = a.turn - 1 WHERE a.role = 'assistant' AND q.role = 'user'), "
+    "o AS (SELECT conv_id, turn, CASE WHEN len(c) > 0 THEN len(list_filter(c, w -> list_contains(h, w)))::DOUBLE / len(c) END AS s FROM p) SELECT conv_id, turn, round(s, 6) AS overlap, coalesce(s >= 0.3, FALSE) AS is_supported FROM o"
+)
+def grounding_overlap(spark, sf_dir):
+    """How much of an answer's wording is in the question before it."""
+    c = table(spark, sf_dir, "conversations")
+    words = c.select("conv_id", "turn", "role", text.overlap_tokens(F.coalesce("text", F.lit("")), folded=False).alias("w"))
+    q = words.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.array_distinct("w").alias("h"))
+    out = words.where("role = 'assistant'").join(q, ["conv_id", "turn"]).withColumn("overlap", grounding.token_overlap(F.col("w"), F.col("h")))
+    return rounded(out.select("conv_id", "turn", "overlap", grounding.supported(F.col("overlap")).alias("is_supported")), "overlap")
+
+
+@query("WITH d AS (SELECT n_chars AS x, quality AS y FROM documents JOIN labels USING (doc_id)), rx AS (SELECT x, sum(count(*)) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (count(*) - 1) / 2.0 AS r FROM d GROUP BY x), ry AS (SELECT y, sum(count(*)) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (count(*) - 1) / 2.0 AS r FROM d GROUP BY y) SELECT round(corr(rx.r::DOUBLE, ry.r::DOUBLE), 6) AS rho, count(*) AS n FROM d JOIN rx USING (x) JOIN ry USING (y)")
+def spearman_docs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("n_chars").alias("x"), F.col("quality").alias("y"))
+    return rounded(metrics.spearman(d, "x", "y"), "rho")
+
+
+# ---------------------------------------------------------------- metrics
+
+
+@query("WITH n AS (SELECT p_brand AS p, p_type AS t, count(*)::DOUBLE AS n FROM part GROUP BY 1, 2), k AS (SELECT n, sum(n) OVER (PARTITION BY p) AS np, sum(n) OVER (PARTITION BY t) AS nt FROM n), s AS (SELECT sum(n * n / np) / sum(n) AS p, sum(n * n / nt) / sum(n) AS r FROM k) SELECT round(p, 6) AS bcubed_precision, round(r, 6) AS bcubed_recall, round(2 * p * r / (p + r), 6) AS bcubed_f1 FROM s")
+def bcubed(spark, sf_dir):
+    out = metrics.bcubed(table(spark, sf_dir, "part"), "p_brand", "p_type")
+    return rounded(out, *out.columns)
+
+
+@query("SELECT p_partkey AS record_id, round(count(*) OVER (PARTITION BY p_brand, p_type)::DOUBLE / count(*) OVER (PARTITION BY p_brand), 6) AS bcubed_precision, round(count(*) OVER (PARTITION BY p_brand, p_type)::DOUBLE / count(*) OVER (PARTITION BY p_type), 6) AS bcubed_recall FROM part")
+def bcubed_per_record(spark, sf_dir):
+    return rounded(metrics.bcubed_per_record(table(spark, sf_dir, "part"), "p_partkey", "p_brand", "p_type"), "bcubed_precision", "bcubed_recall")
+
+
+@query("WITH s AS (SELECT (SELECT sum(n * (n - 1)) / 2.0 FROM (SELECT count(*) AS n FROM part GROUP BY p_brand, p_type)) AS b, (SELECT sum(n * (n - 1)) / 2.0 FROM (SELECT count(*) AS n FROM part GROUP BY p_brand)) AS p, (SELECT sum(n * (n - 1)) / 2.0 FROM (SELECT count(*) AS n FROM part GROUP BY p_type)) AS t) SELECT round(b / p, 6) AS pair_precision, round(b / t, 6) AS pair_recall, round(2 * (b / p) * (b / t) / (b / p + b / t), 6) AS pair_f1 FROM s")
+def pairwise_pr(spark, sf_dir):
+    out = metrics.pairwise(table(spark, sf_dir, "part"), "p_brand", "p_type")
+    return rounded(out, *out.columns)
+
+
+@query("SELECT round(sum(CASE WHEN n >= 2 THEN n ELSE 0 END)::DOUBLE / sum(n), 6) AS linkage_rate, sum(n)::BIGINT AS n_records FROM (SELECT count(*) AS n FROM documents GROUP BY text)")
+def linkage_rate(spark, sf_dir):
+    return rounded(metrics.linkage_rate(table(spark, sf_dir, "documents"), "text"), "linkage_rate")
+
+
+_LABEL_FIELDS = ["p_brand", "p_size"]
+_LABELLED = _scored(_LABEL_FIELDS, more=", a.p_type = b.p_type AS same")
+
+
+def labelled_pairs(spark, sf_dir) -> DataFrame:
+    """Scored pairs with a label that scoring doesn't see; the thresholds of the labelled queries suit two fields."""
+    pairs = scored_parts(spark, sf_dir, _LABEL_FIELDS)
+    return pairs.select("id_a", "id_b", "llr", "cls", (F.col("a_p_type") == F.col("b_p_type")).alias("same"))
+
+
+@query(
+    f"WITH {_LABELLED}, s AS (SELECT sum(CASE WHEN cls = 'Match' AND same THEN 1.0 ELSE 0 END) AS tp, sum(CASE WHEN cls = 'Match' AND NOT same THEN 1.0 ELSE 0 END) AS fp, sum(CASE WHEN same THEN 1.0 ELSE 0 END) AS pos, sum(CASE WHEN cls = 'GrayZone' AND same THEN 1.0 ELSE 0 END) AS gt, avg(CASE WHEN cls = 'GrayZone' THEN 1.0 ELSE 0.0 END) AS g FROM scored), "
+    "r AS (SELECT CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p1, CASE WHEN pos > 0 THEN tp / pos ELSE 0 END AS r1, CASE WHEN tp + gt + fp > 0 THEN (tp + gt) / (tp + gt + fp) ELSE 0 END AS p2, CASE WHEN pos > 0 THEN (tp + gt) / pos ELSE 0 END AS r2, g FROM s) "
+    "SELECT round(p1, 6) AS precision_alone, round(r1, 6) AS recall_alone, round(p2, 6) AS precision_reviewed, round(r2, 6) AS recall_reviewed, round(g, 6) AS gray_share, round(CASE WHEN p1 + r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0 END, 6) AS f1_alone, round(CASE WHEN p2 + r2 > 0 THEN 2 * p2 * r2 / (p2 + r2) ELSE 0 END, 6) AS f1_reviewed FROM r"
+)
+def pair_metrics(spark, sf_dir):
+    out = metrics.pair_metrics(labelled_pairs(spark, sf_dir))
+    return rounded(out, *out.columns)
+
+
+@query(
+    f"WITH {_LABELLED}, d AS (SELECT round(llr, 9) AS threshold, sum(CASE WHEN same THEN 1 ELSE 0 END) AS t, count(*) AS n FROM scored GROUP BY 1), c AS (SELECT threshold, sum(t) OVER (ORDER BY threshold DESC) AS tp, sum(n) OVER (ORDER BY threshold DESC) AS k, sum(t) OVER () AS pos FROM d), f AS (SELECT threshold, CASE WHEN k + pos > 0 THEN 2.0 * tp / (k + pos) ELSE 0 END AS f1 FROM c) SELECT round(threshold, 6) AS threshold, round(f1, 6) AS f1 FROM f ORDER BY f.f1 DESC, f.threshold DESC LIMIT 1"
+)
+def oracle_threshold(spark, sf_dir):
+    return rounded(metrics.best_threshold(labelled_pairs(spark, sf_dir)), "threshold", "f1")
+
+
+@query(f"WITH {_LABELLED}, s AS (SELECT unnest([-2.0, -1.0, 0.0, 1.0, 2.0])::DOUBLE AS shift), x AS (SELECT shift, same, CASE WHEN llr >= 4 + shift THEN 'Match' WHEN llr <= -4 + shift THEN 'NonMatch' ELSE 'GrayZone' END AS cls FROM scored CROSS JOIN s) SELECT shift, cls, same, count(*) AS n FROM x GROUP BY shift, cls, same")
+def threshold_sensitivity(spark, sf_dir):
+    return metrics.threshold_sensitivity(labelled_pairs(spark, sf_dir))
+
+
+@query(f"WITH {_LABELLED} SELECT cls, same, count(*) AS n FROM scored GROUP BY cls, same")
+def label_confusion(spark, sf_dir):
+    return metrics.label_confusion(labelled_pairs(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- review
+
+_AMBIGUOUS = f"ambiguous AS (SELECT id_a, id_b FROM (SELECT id_a, id_b, {_POST} AS p FROM scored) WHERE p > 0.2 AND p < 0.8)"
+_STRATA = f"{_AMBIGUOUS}, contested AS (SELECT id_a AS record_id FROM ambiguous UNION SELECT id_b FROM ambiguous), strata AS (SELECT c.record_id, c.cluster_id, CASE WHEN x.record_id IS NOT NULL THEN 'Contested' WHEN count(*) OVER (PARTITION BY cluster_id) >= 2 THEN 'CleanMerge' ELSE 'Singleton' END AS stratum FROM clusters c LEFT JOIN contested x ON c.record_id = x.record_id)"
+
+
+def part_strata(spark, sf_dir) -> DataFrame:
+    pairs, clusters = part_clusters(spark, sf_dir)
+    return review.stratify(clusters, pairs.where(score.is_ambiguous(F.col("llr"), _PRIOR)))
+
+
+@query(f"WITH RECURSIVE {_scored()}, {_CLUSTERS}, {_STRATA} SELECT record_id, cluster_id, stratum FROM strata")
+def review_strata(spark, sf_dir):
+    return part_strata(spark, sf_dir)
+
+
+@query(f"WITH RECURSIVE {_scored()}, {_CLUSTERS}, {_STRATA}, r AS (SELECT stratum, record_id, row_number() OVER (PARTITION BY stratum ORDER BY sha256('7/' || CAST(record_id AS STRING)), record_id)::INT AS draw, count(*) OVER (PARTITION BY stratum) AS population FROM strata) SELECT stratum, record_id, draw, population FROM r WHERE draw <= 30")
+def pilot_draw(spark, sf_dir):
+    """Thirty records a stratum; a sampling operator."""
+    return review.draw_pilot(part_strata(spark, sf_dir), 30, seed=7)
+
+
+@query(
+    "WITH pop AS (SELECT lang AS stratum, count(*)::DOUBLE AS n FROM documents GROUP BY lang), s AS (SELECT lang AS stratum, count(*)::DOUBLE AS k, avg(quality)::DOUBLE AS m, coalesce(var_samp(quality), 0)::DOUBLE AS v, max(quality) = min(quality) AS flat FROM documents JOIN labels USING (doc_id) GROUP BY lang), "
+    "j AS (SELECT s.*, n, CASE WHEN k >= n THEN 0 WHEN flat THEN (1 - pow(0.025::DOUBLE, 1 / k)) * pow(0.025::DOUBLE, 1 / k) ELSE v END AS vv, greatest(0, 1 - k / n) AS fpc FROM s JOIN pop USING (stratum)), "
+    "t AS (SELECT sum(n * m) / sum(n) AS e, sqrt(sum(n * n * fpc * vv / k)) / sum(n) AS se, sum(k)::BIGINT AS c, max(CAST(k < 2 AS INT)) AS a1, max(CAST(k >= n AS INT)) AS a2, max(CAST(flat AND k < n AS INT)) AS a3 FROM j) "
+    "SELECT round(e, 6) AS estimate, round(se, 6) AS standard_error, round(e - 1.96 * se, 6) AS low, round(e + 1.96 * se, 6) AS high, c AS n_scored, a1 AS stratum_too_small, a2 AS stratum_is_census, a3 AS no_variation FROM t"
+)
+def stratified_estimate(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scores = docs.join(labels, "doc_id").select(F.col("lang").alias("stratum"), F.col("quality").cast("double").alias("score"))
+    out = review.stratified_estimate(scores, docs.groupBy(F.col("lang").alias("stratum")).agg(F.count("*").alias("population")))
+    return rounded(out, "estimate", "standard_error", "low", "high")
+
+
+@query(
+    "WITH v AS (SELECT CASE quality WHEN 1 THEN 'Same' ELSE 'Different' END AS x, CASE toxic WHEN 0 THEN 'Same' ELSE 'Different' END AS y FROM labels), s AS (SELECT count(*)::DOUBLE AS n, avg(CASE WHEN x = y THEN 1.0 ELSE 0 END) AS o, avg(CASE WHEN x = 'Same' THEN 1.0 ELSE 0 END) AS xs, avg(CASE WHEN y = 'Same' THEN 1.0 ELSE 0 END) AS ys, sum(CASE WHEN x = 'Same' AND y = 'Same' THEN 1.0 ELSE 0 END) AS ss, sum(CASE WHEN x = 'Different' AND y = 'Different' THEN 1.0 ELSE 0 END) AS dd FROM v), "
+    "c AS (SELECT *, xs * ys + (1 - xs) * (1 - ys) AS pe, ((xs + ys) / 2 * (1 - (xs + ys) / 2) + (2 - xs - ys) / 2 * (1 - (2 - xs - ys) / 2)) / 2 AS g FROM s) "
+    "SELECT n::BIGINT AS n_pairs, round(o, 6) AS observed, round(CASE WHEN 1 - pe > 1e-12 THEN (o - pe) / (1 - pe) END, 6) AS kappa, round((o - g) / (1 - g), 6) AS ac1, round(2 * ss / (n * (xs + ys)), 6) AS specific_same, round(CASE WHEN n * (2 - xs - ys) > 1e-9 THEN 2 * dd / (n * (2 - xs - ys)) END, 6) AS specific_different, 0::BIGINT AS n_refused FROM c"
+)
+def reviewer_agreement(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    said = F.explode(F.array(F.struct(F.lit("r1").alias("reviewer_id"), F.when(F.col("quality") == 1, "Same").otherwise("Different").alias("outcome")), F.struct(F.lit("r2").alias("reviewer_id"), F.when(F.col("toxic") == 0, "Same").otherwise("Different").alias("outcome"))))
+    out = review.reviewer_agreement(labels.select(F.col("doc_id").alias("record_id"), F.col("doc_id").alias("candidate_id"), said.alias("v")).select("record_id", "candidate_id", "v.*"))
+    return rounded(out, "observed", "kappa", "ac1", "specific_same", "specific_different")
+
+
+_VERDICTS = "SELECT a.s_suppkey AS record_id, b.s_suppkey AS candidate_id, CASE WHEN (a.s_suppkey + b.s_suppkey) % 11 = 0 THEN 'CannotTell' WHEN (a.s_suppkey + b.s_suppkey) % 3 = 0 THEN 'Same' ELSE 'Different' END AS outcome FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey AND (a.s_nationkey = b.s_nationkey OR abs(a.s_suppkey - b.s_suppkey) = 3)"
+
+
+@query(
+    f"WITH v AS ({_VERDICTS}), c AS (SELECT s_suppkey AS record_id, s_nationkey AS cluster_id, count(*) OVER (PARTITION BY s_nationkey)::DOUBLE AS size FROM supplier), j AS (SELECT v.record_id, o.size, v.outcome, o.cluster_id = t.cluster_id AS ins FROM v JOIN c o ON v.record_id = o.record_id JOIN c t ON v.candidate_id = t.record_id), "
+    "s AS (SELECT record_id, size, sum(CASE WHEN outcome = 'Different' AND ins THEN 1.0 ELSE 0 END) AS d, sum(CASE WHEN outcome = 'Same' AND NOT ins THEN 1.0 ELSE 0 END) AS m, sum(CASE WHEN outcome = 'CannotTell' AND ins THEN 1.0 ELSE 0 END) AS oi, sum(CASE WHEN outcome = 'CannotTell' AND NOT ins THEN 1.0 ELSE 0 END) AS oo FROM j GROUP BY record_id, size) "
+    "SELECT record_id, oi + oo > 0 AS excluded, round(CASE WHEN oi + oo = 0 THEN (size - d) / size END, 6) AS review_precision, round(CASE WHEN oi + oo = 0 THEN (size - d) / (size - d + m) END, 6) AS review_recall, round((size - d - oi) / size, 6) AS precision_low, round((size - d) / size, 6) AS precision_high, round((size - d - oi) / (size - d - oi + m + oo), 6) AS recall_low, round((size - d) / (size - d + m), 6) AS recall_high FROM s"
+)
+def record_scores(spark, sf_dir):
+    verdicts = sql_input(spark, sf_dir, _VERDICTS)
+    clusters = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record_id"), F.col("s_nationkey").alias("cluster_id"))
+    out = review.score_records(verdicts, clusters)
+    return rounded(out, *[c for c in out.columns if c not in ("record_id", "excluded")])
+
+
+# ---------------------------------------------------------------- records and sources
+
+
+@query("SELECT user_id, event_id, event_type, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'purchase'")
+def latest_version_fold(spark, sf_dir):
+    """The latest event a user; users whose latest one is a purchase count as retired."""
+    e = table(spark, sf_dir, "events").withColumn("retired", F.col("event_type") == "purchase")
+    return rounded(records.latest_versions(e, ["user_id"], ["ts", "event_id"], "retired").select("user_id", "event_id", "event_type", "value"), "value")
+
+
+@query("WITH o AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS items FROM lineitem GROUP BY l_orderkey), x AS (SELECT l_orderkey AS parent_id, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS p FROM o) SELECT parent_id, CAST(p AS INT) AS position, item, CAST(parent_id AS STRING) || '/' || CAST(p AS STRING) AS record_id FROM x")
+def section_rows(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("items"))
+    return records.sections(lines, "l_orderkey", "items").select("parent_id", "position", "item", "record_id")
+
+
+@query("WITH c AS (SELECT c_custkey, CAST(c_nationkey AS STRING) AS nation, c_mktsegment FROM customer) SELECT c_custkey AS record_id, 2 + CAST(c_custkey % 2 = 0 AS INT) AS n_fields, CASE WHEN c_custkey % 2 = 0 THEN nation END AS nation FROM c")
+def identity_view(spark, sf_dir):
+    """Customers with odd keys belong to a subject that declares its nation a reference; it isn't compared."""
+    c = table(spark, sf_dir, "customer")
+    bags = c.select(F.col("c_custkey").alias("record_id"), F.when(F.col("c_custkey") % 2 == 1, "buyer").alias("subject"), F.create_map(F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit("segment"), F.col("c_mktsegment"), F.lit("name"), F.col("c_name")).alias("fields"))
+    relations = sql_input(spark, sf_dir, "SELECT 'buyer' AS subject, 'country' AS target, 'nation' AS via_field, 'Reference' AS kind FROM region WHERE r_regionkey = 0")
+    refs = records.reference_fields(relations, relations)
+    return records.identity_view(bags, refs).select("record_id", F.size("fields").alias("n_fields"), F.col("fields")["nation"].alias("nation"))
+
+
+_RELATIONS = "SELECT CASE n_nationkey % 4 WHEN 0 THEN 'order' WHEN 1 THEN 'line' WHEN 2 THEN 'customer' ELSE 'nation' END AS subject, CASE n_regionkey % 2 WHEN 0 THEN 'customer' ELSE 'line' END AS target, CASE WHEN n_nationkey % 7 > 0 THEN 'f' || CAST(n_nationkey % 7 AS STRING) END AS via_field, CASE n_nationkey % 5 WHEN 0 THEN 'Child' WHEN 1 THEN 'Parent' WHEN 2 THEN 'Reference' WHEN 3 THEN 'Reference' END AS kind FROM nation"
+
+
+@query(f"WITH r AS ({_RELATIONS}), e AS (SELECT subject, via_field FROM r WHERE kind IN ('Reference', 'Parent') UNION SELECT target, via_field FROM r WHERE kind = 'Child') SELECT e.subject, string_agg(via_field, ',' ORDER BY via_field) AS ref_fields FROM e WHERE via_field IS NOT NULL AND e.subject IN (SELECT subject FROM r) GROUP BY e.subject")
+def reference_fields(spark, sf_dir):
+    r = sql_input(spark, sf_dir, _RELATIONS)
+    return records.reference_fields(r, r).select("subject", F.array_join("ref_fields", ",").alias("ref_fields"))
+
+
+@query("SELECT o_orderkey AS record_id, CASE WHEN o_orderstatus IS NOT NULL AND trim(o_orderstatus) <> '' THEN 'order' || chr(31) || 'customer=' || CAST(o_custkey AS STRING) || chr(31) || 'status=' || upper(trim(o_orderstatus)) END AS scope FROM orders")
+def ownership_scopes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("record_id"), records.ownership_scope(F.lit("order"), {"status": F.col("o_orderstatus"), "customer": F.col("o_custkey")}, folded=False).alias("scope"))
+
+
+@query("SELECT event_id, len(json_keys(props)) AS n_fields FROM events")
+def json_fields(spark, sf_dir):
+    return records.flattened_json(table(spark, sf_dir, "events"), "props").select("event_id", F.size("fields").cast("long").alias("n_fields"))
+
+
+@query("SELECT p_partkey AS record_id, lower(regexp_replace(p_name || ' ' || p_brand, '[^\\p{L}\\p{Nd}]', '', 'g')) AS name_key, substr(sha256(p_name), 1, 8) AS fingerprint, upper(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) AS denotation FROM part")
+def text_keys(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("record_id"), text.name_key(F.concat_ws(" ", "p_name", "p_brand"), False).alias("name_key"), text.fingerprint(F.col("p_name")).alias("fingerprint"), text.denotation_text(F.col("p_type")).alias("denotation"))
+
+
+_VALUES = "SELECT o_orderkey AS record_id, CASE o_orderkey % 5 WHEN 0 THEN substr(CAST(o_orderdate AS STRING), 1, 10) WHEN 1 THEN CAST(o_custkey % 1000 AS STRING) || ' kg' WHEN 2 THEN CAST(1000000 + o_custkey AS STRING) WHEN 3 THEN o_orderpriority ELSE 'one of the six words here' END AS v FROM orders"
+
+
+@query(f"WITH v AS ({_VALUES}) SELECT record_id, CASE WHEN regexp_matches(v, '^\\d{{4}}[-/.]\\d{{1,2}}[-/.]\\d{{1,2}}$') THEN 'date' WHEN regexp_matches(v, '^[-+]?\\d+([.,]\\d+)?\\s?[^\\d\\s]{{0,4}}$') AND NOT regexp_matches(v, '^\\d{{5,}}$') THEN 'number' WHEN len(string_split(trim(v), ' ')) >= 6 THEN 'long' ELSE 'name' END AS kind FROM v")
+def value_like_names(spark, sf_dir):
+    return sql_input(spark, sf_dir, _VALUES).select("record_id", text.value_like(F.col("v")).alias("kind"))
+
+
+# ---------------------------------------------------------------- proposals
+
+_ENTITIES = "SELECT 'e' || CAST(CASE WHEN c_custkey % 10 = 0 THEN c_custkey - c_custkey % 20 ELSE c_custkey END AS STRING) AS entity_id, CASE WHEN c_custkey % 17 = 0 THEN '' ELSE c_name END AS name, CASE c_custkey % 3 WHEN 0 THEN 'Work Order' WHEN 1 THEN 'work_order' ELSE c_mktsegment END AS type, 'claim about ' || c_name AS claim, CAST(c_custkey % 23 AS DOUBLE) / 20 AS confidence, CASE WHEN c_custkey % 13 = 0 THEN 'k' || CAST(c_custkey % 50 AS STRING) END AS known_key, c_custkey AS ord, c_nationkey AS nation FROM customer"
+_KEYS = "SELECT 'k' || CAST(n_nationkey AS STRING) AS key FROM nation"
+_REASONS = f"e AS ({_ENTITIES}), k AS ({_KEYS}), m AS (SELECT e.*, CASE WHEN trim(name) = '' THEN 'MissingField' WHEN NOT confidence BETWEEN 0 AND 1 THEN 'ConfidenceOutOfRange' WHEN ord % 19 = 0 THEN 'NoSource' WHEN count(*) OVER (PARTITION BY entity_id) > 1 THEN 'DuplicateEntityId' WHEN known_key IS NOT NULL AND known_key NOT IN (SELECT key FROM k) THEN 'UnknownKnownEntity' END AS reason FROM e)"
+
+
+def proposed(spark, sf_dir) -> DataFrame:
+    return sql_input(spark, sf_dir, _ENTITIES).withColumn("sources", F.when(F.col("ord") % 19 != 0, F.array(F.concat(F.lit("r"), F.col("ord").cast("string")))))
+
+
+@query(f"WITH {_REASONS} SELECT 'Entity' AS kind, entity_id AS element_id, reason, coalesce(name, '') AS detail FROM m WHERE reason IS NOT NULL")
+def entity_rejections(spark, sf_dir):
+    return checks.checked_entities(proposed(spark, sf_dir), sql_input(spark, sf_dir, _KEYS))[1]
+
+
+_LINKS = "SELECT 'rel' || CAST(o_orderkey AS STRING) AS name, 'e' || CAST(o_custkey AS STRING) AS from_id, 'e' || CAST(o_custkey + o_orderkey % 7 AS STRING) AS to_id FROM orders"
+
+
+@query(f"WITH {_REASONS}, l AS ({_LINKS}), p AS (SELECT DISTINCT entity_id FROM m), a AS (SELECT DISTINCT entity_id FROM m WHERE reason IS NULL) SELECT name, from_id, to_id, CASE WHEN from_id NOT IN (SELECT entity_id FROM p) OR to_id NOT IN (SELECT entity_id FROM p) THEN 'DanglingEndpoint' WHEN from_id NOT IN (SELECT entity_id FROM a) OR to_id NOT IN (SELECT entity_id FROM a) THEN 'EndpointRejected' END AS reason FROM l")
+def endpoint_integrity(spark, sf_dir):
+    e = proposed(spark, sf_dir)
+    return checks.endpoint_rejections(sql_input(spark, sf_dir, _LINKS), e, checks.checked_entities(e, sql_input(spark, sf_dir, _KEYS))[0])
+
+
+_CITED = "SELECT 'c' || CAST(o_orderkey AS STRING) AS element, 'r' || CAST(o_custkey + CASE WHEN o_orderkey % 9 = 0 THEN 100000 ELSE 0 END AS STRING) AS source FROM orders"
+
+
+@query(f"WITH c AS ({_CITED}) SELECT element, source AS record_id FROM c WHERE source NOT IN (SELECT 'r' || CAST(c_custkey AS STRING) FROM customer)")
+def invented_sources(spark, sf_dir):
+    c = sql_input(spark, sf_dir, _CITED).select("element", F.array("source").alias("sources"))
+    return checks.unknown_sources(c, sql_input(spark, sf_dir, "SELECT 'r' || CAST(c_custkey AS STRING) AS record_id FROM customer"), "element")
+
+
+_DENOTES = "SELECT 'n' || CAST(c_nationkey AS STRING) AS entity_id, n_name AS name, c_custkey AS record_id FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), c_name, c_custkey FROM customer WHERE c_custkey % 3 > 0"
+_REFERS = "SELECT c_custkey AS record_id, '  ' || lower(n_name) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0"
+
+
+@query(f"WITH d AS ({_DENOTES}), r AS ({_REFERS}), h AS (SELECT d.*, r.value IS NOT NULL AS hit FROM d LEFT JOIN (SELECT DISTINCT record_id, upper(trim(value)) AS value FROM r) r ON d.record_id = r.record_id AND upper(trim(d.name)) = r.value), w AS (SELECT *, sum(CAST(NOT hit AS INT)) OVER (PARTITION BY record_id) AS remain FROM h) SELECT entity_id, record_id FROM w WHERE hit AND remain > 0")
+def demotion(spark, sf_dir):
+    return checks.demotions(sql_input(spark, sf_dir, _DENOTES), sql_input(spark, sf_dir, _REFERS))
+
+
+_IN_USE = "SELECT 'Work-Order' AS name, 1 AS priority, 1 AS ord FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'WORK ORDER', 0, 5 FROM region WHERE r_regionkey = 1 UNION ALL SELECT 'work order', 0, 9 FROM region WHERE r_regionkey = 2"
+_NAME = lambda c: f"lower(regexp_replace({c}, '[^\\p{{L}}\\p{{Nd}}]', '', 'g'))"
+
+
+@query(f"WITH e AS ({_ENTITIES}), u AS ({_IN_USE}), f AS (SELECT {_NAME('name')} AS k, first(name ORDER BY priority, ord) AS s FROM u GROUP BY 1) SELECT ord AS record_id, coalesce(s, type) AS type, coalesce(s, type) <> type AS respelled FROM e LEFT JOIN f ON {_NAME('type')} = k")
+def settled_types(spark, sf_dir):
+    return checks.settled_types(sql_input(spark, sf_dir, _ENTITIES), sql_input(spark, sf_dir, _IN_USE), False).select(F.col("ord").alias("record_id"), "type", "respelled")
+
+
+_WORDS = "SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN substr(n_name, 2) WHEN 2 THEN n_name || 'XY' ELSE 'Q' || n_name || 'XYZ' END AS word FROM customer JOIN nation ON c_nationkey = n_nationkey"
+
+
+@query(f"WITH w AS ({_WORDS}), h AS (SELECT word, count(*) AS n, min(n_name) AS name FROM w JOIN nation ON levenshtein(word, n_name) <= 2 WHERE length(word) >= 6 AND length(n_name) >= 6 GROUP BY word) SELECT word, name FROM h WHERE n = 1 AND word <> name")
+def respelling(spark, sf_dir):
+    return checks.respellings(sql_input(spark, sf_dir, _WORDS), sql_input(spark, sf_dir, "SELECT n_name AS name FROM nation"))
+
+
+_TYPES = "SELECT n_name AS sub, CASE n_nationkey % 5 WHEN 0 THEN lower(n_name) WHEN 1 THEN r_name ELSE 'Place ' || r_name END AS super, n_nationkey AS ord FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT lower(n_name), 'place_' || r_name, 100 + n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0"
+_DECLARED_TYPES = "SELECT n_name AS sub, 'Place ' || r_name AS super FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 0 UNION ALL SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 1"
+
+
+@query(
+    f"WITH p AS ({_TYPES}), d AS (SELECT DISTINCT {_NAME('sub')} AS x, {_NAME('super')} AS y FROM ({_DECLARED_TYPES})), k AS (SELECT *, {_NAME('sub')} AS a, {_NAME('super')} AS b, row_number() OVER (PARTITION BY {_NAME('sub')}, {_NAME('super')} ORDER BY ord) AS rn FROM p) "
+    "SELECT sub, super, ord, CASE WHEN a = b THEN 'Reflexive' WHEN rn > 1 THEN 'Duplicate' WHEN EXISTS (SELECT 1 FROM d WHERE d.x = a AND d.y = b) THEN 'Declared' WHEN EXISTS (SELECT 1 FROM d WHERE d.x = b AND d.y = a) THEN 'Inverted' ELSE 'Proposed' END AS verdict FROM k"
+)
+def type_relations(spark, sf_dir):
+    return checks.type_relation_checks(sql_input(spark, sf_dir, _TYPES), sql_input(spark, sf_dir, _DECLARED_TYPES), False)
+
+
+_CANDIDATES = "SELECT 'e' || CAST(o_custkey AS STRING) AS entity_id, 'm' || CAST(o_custkey % 40 AS STRING) AS key, CAST(o_orderkey % 22 AS DOUBLE) / 20 AS confidence, o_orderkey AS ord FROM orders"
+_OWN = "SELECT 'e' || CAST(c_custkey AS STRING) AS entity_id, c_custkey % 4 > 0 AS denotes FROM customer WHERE c_custkey % 5 > 0"
+_MENTIONED = "SELECT 'm' || CAST(n_nationkey AS STRING) AS key FROM nation"
+
+
+@query(f"WITH c AS ({_CANDIDATES}), e AS ({_OWN}), m AS ({_MENTIONED}) SELECT c.entity_id, c.key, c.ord, coalesce(CASE WHEN NOT confidence BETWEEN 0 AND 1 THEN 'ConfidenceOutOfRange' WHEN denotes IS NULL THEN 'DanglingEndpoint' WHEN m.key IS NULL THEN 'UnknownMentionedEntity' WHEN NOT denotes THEN 'NotDenoted' END, CASE WHEN row_number() OVER (PARTITION BY c.entity_id, c.key ORDER BY c.ord) > 1 THEN 'Duplicate' ELSE 'Accepted' END) AS verdict FROM c LEFT JOIN e ON c.entity_id = e.entity_id LEFT JOIN m ON c.key = m.key")
+def merge_candidates(spark, sf_dir):
+    return checks.merge_candidate_checks(sql_input(spark, sf_dir, _CANDIDATES), sql_input(spark, sf_dir, _OWN), sql_input(spark, sf_dir, _MENTIONED))
+
+
+_SUPERS = "SELECT 't' || CAST(n_nationkey AS STRING) AS sub, 't' || CAST((n_nationkey * 3 + 1) % 25 AS STRING) AS super FROM nation WHERE n_nationkey % 6 > 0 UNION ALL SELECT 't' || CAST(n_nationkey AS STRING), r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 = 0"
+
+
+@query(f"WITH RECURSIVE d AS (SELECT sub, super FROM ({_SUPERS}) WHERE sub <> super), c AS (SELECT sub, super FROM d UNION SELECT c.sub, d.super FROM c JOIN d ON c.super = d.sub) SELECT sub, super FROM c WHERE sub <> super")
+def declared_closure(spark, sf_dir):
+    return declared.super_types(sql_input(spark, sf_dir, _SUPERS))
+
+
+_PROPOSED_LINKS = "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Placed By' WHEN 1 THEN 'placed_by' ELSE 'mentions' END AS name, 'Order' AS from_type, CASE o_orderkey % 4 WHEN 0 THEN 'customer' WHEN 1 THEN 'Customer' ELSE 'Part' END AS to_type FROM orders"
+_DECLARED_LINKS = "SELECT 'PlacedBy' AS name, 'order' AS subject, 'Customer' AS target FROM region WHERE r_regionkey = 0"
+
+
+@query(f"WITH p AS ({_PROPOSED_LINKS}), d AS ({_DECLARED_LINKS}) SELECT p.id, CASE WHEN EXISTS (SELECT 1 FROM d WHERE {_NAME('d.name')} = {_NAME('p.name')} AND {_NAME('d.subject')} = {_NAME('p.from_type')} AND {_NAME('d.target')} = {_NAME('p.to_type')}) THEN 'Declared' WHEN EXISTS (SELECT 1 FROM d WHERE {_NAME('d.name')} = {_NAME('p.name')}) THEN 'ContradictsDeclaration' ELSE 'Proposed' END AS basis FROM p")
+def declared_merge(spark, sf_dir):
+    return declared.merged_relations(sql_input(spark, sf_dir, _PROPOSED_LINKS), sql_input(spark, sf_dir, _DECLARED_LINKS), False).select("id", "basis")
+
+
+_BOUND = "SELECT 's' || CAST(n_regionkey AS STRING) AS subject, 'f' || CAST(n_nationkey AS STRING) AS name, CASE WHEN n_nationkey % 3 > 0 THEN 's' || CAST((n_regionkey + 1) % 5 AS STRING) END AS bound_to, CASE WHEN n_nationkey % 2 = 0 THEN 'via' || CAST(n_nationkey AS STRING) END AS via_field FROM nation"
+_HAVE = "SELECT 's' || CAST(n_regionkey AS STRING) AS subject, 'f' || CAST(n_nationkey AS STRING) AS via_field FROM nation WHERE n_nationkey % 4 = 1"
+
+
+@query(f"WITH b AS ({_BOUND}), x AS (SELECT subject, name AS via_field, bound_to AS target FROM b WHERE bound_to IS NOT NULL UNION ALL SELECT subject, via_field, bound_to FROM b WHERE bound_to IS NOT NULL AND via_field IS NOT NULL AND via_field <> name), h AS ({_HAVE}) SELECT x.subject, x.via_field, target, 'Reference' AS kind FROM x WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.subject = x.subject AND h.via_field = x.via_field)")
+def bound_field_references(spark, sf_dir):
+    return declared.bound_references(sql_input(spark, sf_dir, _BOUND), sql_input(spark, sf_dir, _HAVE))
+
+
+_FUSE = "SELECT 'f' || CAST(p_partkey AS STRING) AS entity_id, CAST(p_partkey % 19 + 1 AS DOUBLE) / 20 AS confidence, p_partkey AS pk FROM part"
+
+
+@query(
+    f"WITH RECURSIVE {_scored()}, {_CLUSTERS}, f AS ({_FUSE}), cited AS (SELECT entity_id, confidence, pk AS record_id FROM f UNION SELECT entity_id, confidence, pk + 64 FROM f UNION SELECT entity_id, confidence, pk + 128 FROM f WHERE pk % 2 = 0), "
+    "among AS (SELECT x.entity_id, min(s.llr) AS least, bool_and(s.cls = 'Match') AS al, bool_or(s.cls = 'Match') AS an FROM scored s JOIN cited x ON s.id_a = x.record_id JOIN cited y ON s.id_b = y.record_id AND x.entity_id = y.entity_id GROUP BY x.entity_id), "
+    "homes AS (SELECT c.entity_id, count(DISTINCT coalesce(CAST(cluster_id AS STRING), 'alone ' || CAST(c.record_id AS STRING))) AS h, count(*) AS n FROM cited c LEFT JOIN clusters k ON c.record_id = k.record_id GROUP BY c.entity_id), "
+    f"j AS (SELECT f.entity_id, f.confidence AS c, least, coalesce(h = 1 AND an, FALSE) OR coalesce(al, FALSE) AS sure, n, least + ln({_PRIOR}::DOUBLE) - ln(1 - {_PRIOR}::DOUBLE) AS x FROM f LEFT JOIN among USING (entity_id) LEFT JOIN homes USING (entity_id)) "
+    "SELECT entity_id, round(CASE WHEN n <= 1 OR least IS NULL THEN c WHEN sure THEN least(1 - 1e-6, greatest(1e-6, 1 / (1 + exp(-x)))) ELSE least(1 - 1e-6, greatest(1e-6, 1 / (1 + exp(-(x + ln(c / (1 - c))))))) END, 6) AS confidence, least IS NOT NULL AND n > 1 AS fused FROM j"
+)
+def confidence_fusion(spark, sf_dir):
+    """Proposals that cite two or three parts, their confidence joined with the parts' linkage."""
+    pairs, clusters = part_clusters(spark, sf_dir)
+    pk = F.col("pk")
+    entities = sql_input(spark, sf_dir, _FUSE).withColumn("sources", F.when(pk % 2 == 0, F.array(pk, pk + 64, pk + 128)).otherwise(F.array(pk, pk + 64)))
+    return rounded(confidence.fused(entities, pairs, clusters, _PRIOR), "confidence")
+
+
+@query(
+    f"WITH {_scored()}, r AS (SELECT id_a, id_b, {_POST} AS p, CASE WHEN id_a % 2 = 0 THEN 'Innate' ELSE 'Acquired' END AS origin FROM scored), t AS (SELECT *, CASE WHEN origin = 'Innate' THEN CASE WHEN p >= 0.8 THEN 'AutoApply' WHEN p >= 0.5 THEN 'Review' ELSE 'DraftOnly' END ELSE CASE WHEN p >= 0.95 THEN 'AutoApply' WHEN p >= 0.1 THEN 'Review' ELSE 'DraftOnly' END END AS tier FROM r) "
+    "SELECT origin, tier, CASE WHEN tier = 'AutoApply' THEN 'Settled' ELSE 'Escalated' END AS path_step, count(*) AS n FROM t GROUP BY 1, 2, 3"
+)
+def routing_tiers(spark, sf_dir):
+    pairs = scored_parts(spark, sf_dir).select(score.posterior(F.col("llr"), _PRIOR).alias("confidence"), F.when(F.col("id_a") % 2 == 0, "Innate").otherwise("Acquired").alias("origin"))
+    return confidence.routed(pairs, confidence.Thresholds(0.8, 0.5), confidence.Thresholds(0.95, 0.1)).groupBy("origin", "tier", "path_step").agg(F.count("*").alias("n"))
+
+
+_BASE = "https://example.org/things#"
+
+
+@query(
+    f"WITH c AS (SELECT c_custkey, c_name AS name, c_mktsegment AS type, list_sort(['r' || CAST(c_custkey AS STRING), 'q' || CAST(c_custkey % 7 AS STRING)]) AS d, CASE c_custkey % 5 WHEN 0 THEN 'urn:thing:' || CAST(c_custkey AS STRING) WHEN 1 THEN 'bad key ' || CAST(c_custkey AS STRING) END AS k FROM customer) "
+    f"SELECT c_custkey AS record_id, CASE WHEN k LIKE 'urn:%' THEN k WHEN k IS NOT NULL THEN '{_BASE}' || substr(sha256('key:' || k), 1, 32) ELSE '{_BASE}' || substr(sha256(length(type) || ':' || type || length(name) || ':' || name || list_aggregate(list_transform(d, x -> length(x) || ':' || x), 'string_agg', '')), 1, 32) END AS iri, '\"' || replace(replace(replace(name || chr(10) || '\"x\\', '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n') || '\"' AS label FROM c"
+)
+def turtle_individuals(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    known = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("urn:thing:"), key)).when(F.col("c_custkey") % 5 == 1, F.concat(F.lit("bad key "), key))
+    denoted = F.array(F.concat(F.lit("r"), key), F.concat(F.lit("q"), (F.col("c_custkey") % 7).cast("string")))
+    return c.select(F.col("c_custkey").alias("record_id"), turtle.individual_iri(_BASE, F.col("c_mktsegment"), F.col("c_name"), denoted, known).alias("iri"), turtle.literal(F.concat("c_name", F.lit('\n"x\\'))).alias("label"))
+
+
+_TERMS = "SELECT CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN lower(c_mktsegment) ELSE '*' || CAST(c_custkey % 2 AS STRING) || '*' END AS name, c_custkey AS ord FROM customer"
+
+
+@query(f"WITH t AS ({_TERMS}), k AS (SELECT CASE WHEN {_NAME('name')} = '' THEN chr(1) || name ELSE {_NAME('name')} END AS term_key, name, ord FROM t) SELECT term_key, first(name ORDER BY ord) AS name FROM k GROUP BY term_key")
+def term_spellings(spark, sf_dir):
+    return turtle.first_spellings(sql_input(spark, sf_dir, _TERMS), False)
+
+
+_OLD = "SELECT 't' || CAST(n_nationkey AS STRING) AS term_key, 'http://old/' || n_name AS iri FROM nation"
+_NEW = "SELECT 't' || CAST(n_nationkey AS STRING) AS term_key, CASE WHEN n_nationkey % 3 = 0 THEN 'http://old/' || n_name ELSE 'http://new/' || n_name END AS iri FROM nation WHERE n_nationkey % 5 > 0"
+
+
+@query(f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT '<' || o.iri || '> owl:deprecated true' || CASE WHEN n.iri IS NOT NULL THEN ' ; <http://purl.org/dc/terms/isReplacedBy> <' || n.iri || '>' ELSE '' END || ' .' AS line FROM o LEFT JOIN n ON o.term_key = n.term_key WHERE n.iri IS NULL OR n.iri <> o.iri")
+def retired_iris(spark, sf_dir):
+    return turtle.retired_bridge(sql_input(spark, sf_dir, _OLD), sql_input(spark, sf_dir, _NEW))
+
+
+# ---------------------------------------------------------------- calls in a chain
+
+_CHAIN = "SELECT 'k' || CAST(o_custkey AS STRING) AS key, 'Name ' || CAST(o_custkey % 7 AS STRING) || CAST(o_orderkey % 2 AS STRING) AS name, o_orderpriority AS type, o_orderkey AS ord, o_orderkey % 3 AS m FROM orders"
+
+
+def chained(spark, sf_dir) -> DataFrame:
+    r = F.concat(F.lit("r"), F.col("ord").cast("string"))
+    none = F.array().cast("array<string>")
+    return sql_input(spark, sf_dir, _CHAIN).select("key", "name", "type", "ord", F.when(F.col("m") == 0, F.array(r)).otherwise(none).alias("denoted_by"), F.array(r).alias("sources"), F.when(F.col("m") == 1, F.col("key")).alias("known_key"))
+
+
+@query(f"WITH c AS ({_CHAIN}) SELECT key, first(name ORDER BY ord) AS name, first(type ORDER BY ord) AS type, string_agg('r' || CAST(ord AS STRING), ',' ORDER BY 'r' || CAST(ord AS STRING)) AS records FROM c WHERE m = 0 GROUP BY key")
+def chain_known(spark, sf_dir):
+    return chain.to_known(chained(spark, sf_dir)).withColumn("records", F.array_join("records", ","))
+
+
+@query(f"WITH c AS ({_CHAIN}), x AS (SELECT key, first(name ORDER BY ord) AS name, first(type ORDER BY ord) AS type, string_agg('r' || CAST(ord AS STRING), ',' ORDER BY 'r' || CAST(ord AS STRING)) AS records FROM c WHERE m = 2 GROUP BY key) SELECT * FROM x WHERE key NOT IN (SELECT key FROM c WHERE m = 0)")
+def chain_mentioned(spark, sf_dir):
+    """Mentioned entities carried over calls; keys that became known leave."""
+    e = chained(spark, sf_dir)
+    now = chain.to_mentioned(e)
+    return chain.accumulated(now.limit(0), now, chain.to_known(e)).withColumn("records", F.array_join("records", ","))
+
+
+_TYPED = "SELECT CASE c_custkey % 2 WHEN 0 THEN c_mktsegment ELSE lower(c_mktsegment) END AS name, 'r' || CAST(c_custkey AS STRING) AS record_id, c_custkey AS ord FROM customer"
+
+
+@query(f"WITH t AS ({_TYPED}), k AS (SELECT *, {_NAME('name')} AS k, row_number() OVER (PARTITION BY {_NAME('name')} ORDER BY ord) AS rn FROM t) SELECT first(name ORDER BY rn) AS name, string_agg(record_id, ',' ORDER BY rn) AS specimens FROM k WHERE rn <= 2 GROUP BY k")
+def chain_type_vocabulary(spark, sf_dir):
+    return chain.type_vocabulary(sql_input(spark, sf_dir, _TYPED), 2, False).withColumn("specimens", F.array_join("specimens", ","))
+
+
+_RUN_A = "SELECT c_name AS name, c_mktsegment AS type FROM customer"
+_RUN_B = "SELECT upper(c_name) AS name, CASE WHEN c_custkey % 4 = 0 THEN 'other' ELSE c_mktsegment END AS type FROM customer WHERE c_custkey % 3 > 0"
+
+
+@query(f"WITH a AS (SELECT {_NAME('name')} AS k, string_agg(DISTINCT {_NAME('type')}, ',' ORDER BY {_NAME('type')}) AS t FROM ({_RUN_A}) GROUP BY 1), b AS (SELECT {_NAME('name')} AS k, string_agg(DISTINCT {_NAME('type')}, ',' ORDER BY {_NAME('type')}) AS t FROM ({_RUN_B}) GROUP BY 1) SELECT count(*) AS n_shared, sum(CAST(a.t = b.t AS BIGINT))::BIGINT AS n_alike FROM a JOIN b USING (k)")
+def type_consistency(spark, sf_dir):
+    return chain.type_consistency(sql_input(spark, sf_dir, _RUN_A), sql_input(spark, sf_dir, _RUN_B), False)
+
+
+_TRIPLES = "SELECT n_name AS subject, 'locatedIn' AS predicate, r_name AS object FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, 'isA', 'Nation' FROM nation"
+_FIRST = "SELECT n_name AS subject, 'locatedIn' AS predicate, r_name AS object FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0"
+_VOCABULARY = "SELECT n_name AS name FROM nation WHERE n_nationkey % 5 > 0 UNION ALL SELECT r_name FROM region UNION ALL SELECT 'Nation' FROM region"
+
+
+@query(f"WITH x AS (SELECT * FROM ({_TRIPLES}) EXCEPT SELECT * FROM ({_FIRST})), v AS ({_VOCABULARY}) SELECT subject, predicate, object FROM x WHERE subject IN (SELECT name FROM v) AND object IN (SELECT name FROM v)")
+def extension_triples(spark, sf_dir):
+    return chain.extension(*(sql_input(spark, sf_dir, t) for t in (_FIRST, _TRIPLES, _VOCABULARY)))
+
+
+_LEFT, _RIGHT = "SELECT c_custkey AS id, c_name AS name FROM customer", "SELECT s_suppkey AS id, replace(lower(s_name), 'supplier', 'CUSTOMER-') AS name FROM supplier"
+
+
+@query(f"WITH a AS ({_LEFT}), b AS ({_RIGHT}) SELECT a.id AS left_id, b.id AS right_id FROM a JOIN b ON {_NAME('a.name')} = {_NAME('b.name')} AND {_NAME('a.name')} <> ''")
+def lenient_name_join(spark, sf_dir):
+    return chain.lenient_join(sql_input(spark, sf_dir, _LEFT), sql_input(spark, sf_dir, _RIGHT), False)
+
+
+_LONG = "SELECT c_custkey AS id, x.n_name || CASE WHEN c_custkey % 3 = 0 THEN ' and ' || y.n_name ELSE '' END AS name FROM customer JOIN nation x ON c_nationkey = x.n_nationkey JOIN nation y ON y.n_nationkey = (c_nationkey + c_custkey % 5) % 25"
+_THINGS = "SELECT n_nationkey AS thing, n_name AS name FROM nation"
+
+
+@query(f"WITH a AS ({_LONG}), t AS ({_THINGS}) SELECT a.id, count(DISTINCT thing) AS n_things FROM a JOIN t ON contains({_NAME('a.name')}, {_NAME('t.name')}) GROUP BY a.id HAVING count(DISTINCT thing) >= 2")
+def over_merged_names(spark, sf_dir):
+    return chain.over_merged(sql_input(spark, sf_dir, _LONG), sql_input(spark, sf_dir, _THINGS), False)
+
+
+@query("SELECT l_partkey AS entity_id, count(DISTINCT l_orderkey) AS n_scopes FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) >= 2")
+def cross_parent_denotation(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity_id"), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("record_id"), F.col("l_orderkey").alias("scope"))
+    return chain.across_parents(lines.select("entity_id", "record_id").distinct(), lines.select("record_id", "scope").distinct())
+
+
+_JUDGED = "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey = b.s_nationkey"
+_TRUTH = "SELECT s_suppkey AS id, CAST(floor(s_acctbal / 2000) AS BIGINT) AS thing FROM supplier WHERE s_suppkey % 6 > 0"
+
+
+@query(f"WITH c AS ({_JUDGED}), t AS ({_TRUTH}) SELECT c.a, c.b, CASE WHEN x.thing IS NULL OR y.thing IS NULL THEN 'Unjudged' WHEN x.thing = y.thing THEN 'Correct' ELSE 'Wrong' END AS verdict FROM c LEFT JOIN t x ON c.a = x.id LEFT JOIN t y ON c.b = y.id")
+def candidate_verdicts(spark, sf_dir):
+    return chain.candidate_verdicts(sql_input(spark, sf_dir, _JUDGED), sql_input(spark, sf_dir, _TRUTH))
+
+
+# ---------------------------------------------------------------- rows only: no SQL twin has these semantics
+
+
+@query()
+def jaro_winkler_levels(spark, sf_dir):
+    """Suppliers and customers of one nation by name, in four levels; pytest pins the function."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.upper("s_name").alias("name"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.upper("c_name").alias("name"))
+    pairs = blocking.blocked_cross(s, c, [["nation"]])
+    out = compare.with_levels(pairs, {"name": compare.Comparison("jaro_winkler", (1.0, 0.92, 0.88))})
+    return out.groupBy("a_nation", "g_name").agg(F.count("*").alias("n"))
+
+
+@query()
+def monge_elkan_parts(spark, sf_dir):
+    """Distinct part names against each other: the similarity is worked out once a pair of values."""
+    names = parts(spark, sf_dir).select(F.col("p_name").alias("name")).distinct().withColumn("ord", F.col("name"))
+    pairs = blocking.all_pairs(names)
+    return rounded(pairs.select("a_name", "b_name", similarity.monge_elkan(F.col("a_name"), F.col("b_name")).alias("monge_elkan")), "monge_elkan")
+
+
+@query()
+def linkage_end_to_end(spark, sf_dir):
+    """Parts by two rules, parameters fitted by EM: clusters."""
+    options = linkage.Options({f: compare.EXACT for f in PART_FIELDS}, [["p_name"], ["p_brand", "p_type", "p_size"]])
+    return linkage.analyze(parts(spark, sf_dir), options).clusters
+
+
+@query()
+def review_allocation(spark, sf_dir):
+    """A budget of 100 documents shared over languages by size and spread, and the bootstrap interval of what is known."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    per = docs.join(labels, "doc_id", "left").groupBy("lang").agg(F.count("*").alias("n"), F.coalesce(F.stddev_samp("quality"), F.lit(0.0)).alias("s"), F.sum(F.coalesce("quality", F.lit(0))).alias("good"), F.count("quality").alias("k")).orderBy("lang").collect()
+    plan = review.allocate_neyman([(r["n"], r["s"]) for r in per], 100)
+    low, high = review.rescaling_bootstrap([(r["n"], [1.0] * r["good"] + [0.0] * (r["k"] - r["good"])) for r in per if r["k"]])
+    return spark.createDataFrame([(r["lang"], k, low, high) for r, k in zip(per, plan, strict=True)], "lang string, n_review int, low double, high double")
+
+
+@query()
+def turtle_document(spark, sf_dir):
+    """The nations and their regions as OWL lines."""
+    e = sql_input(spark, sf_dir, "SELECT n_name AS name, 'Nation' AS type, 'listed' AS claim, CAST(1 AS DOUBLE) AS confidence, n_regionkey AS r FROM nation")
+    e = e.withColumn("iri", turtle.individual_iri(_BASE, F.col("type"), F.col("name"), F.array(F.col("name")), F.lit(None).cast("string")))
+    r = sql_input(spark, sf_dir, "SELECT r_name AS name, 'Region' AS type, 'listed' AS claim, CAST(1 AS DOUBLE) AS confidence, r_regionkey AS r FROM region")
+    r = r.withColumn("iri", turtle.individual_iri(_BASE, F.col("type"), F.col("name"), F.array(F.col("name")), F.lit(None).cast("string")))
+    links = e.select("r", F.col("iri").alias("from_iri")).join(r.select("r", F.col("iri").alias("to_iri")), "r").select(F.lit("located in").alias("name"), "from_iri", "to_iri")
+    return turtle.lines(e.drop("r").unionByName(r.drop("r")), links, _BASE)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parts look like the same product: scored pairs with the clusters of their ends."""
+    pairs, clusters = part_clusters(spark, sf_dir)
+    a, b = (clusters.select(F.col("record_id").alias(f"id_{s}"), F.col("cluster_id").alias(f"cluster_{s}")) for s in "ab")
+    return pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", "llr", "cls", "cluster_a", "cluster_b")
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
