@@ -253,12 +253,12 @@ def exact_copy_groups(spark, sf_dir):
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-_TOKS = lambda c: f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{Mn}}\\p{{Nd}}]+'), w -> length(w) >= 3 AND w NOT IN ({_STOP}))"
+_TOKS = lambda c: f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{Mn}}\\p{{Nd}}]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP}))"
 
 
 @query(
     f"WITH p AS (SELECT a.conv_id, a.turn, {_TOKS('a.text')} AS c, {_TOKS('q.text')} AS h FROM conversations a JOIN conversations q ON a.conv_id = q.conv_id AND q.turn = a.turn - 1 WHERE a.role = 'assistant' AND q.role = 'user'), "
-    "o AS (SELECT conv_id, turn, CASE WHEN len(c) > 0 THEN len(list_filter(c, w -> list_contains(h, w)))::DOUBLE / len(c) END AS s FROM p) SELECT conv_id, turn, round(s, 6) AS overlap, coalesce(s >= 0.3, FALSE) AS is_supported FROM o"
+    "o AS (SELECT conv_id, turn, CASE WHEN len(c) > 0 THEN len(list_filter(c, lambda w: list_contains(h, w)))::DOUBLE / len(c) END AS s FROM p) SELECT conv_id, turn, round(s, 6) AS overlap, coalesce(s >= 0.3, FALSE) AS is_supported FROM o"
 )
 def grounding_overlap(spark, sf_dir):
     """How much of an answer's wording is in the question before it."""
@@ -599,7 +599,7 @@ _BASE = "https://example.org/things#"
 
 @query(
     f"WITH c AS (SELECT c_custkey, c_name AS name, c_mktsegment AS type, list_sort(['r' || CAST(c_custkey AS STRING), 'q' || CAST(c_custkey % 7 AS STRING)]) AS d, CASE c_custkey % 5 WHEN 0 THEN 'urn:thing:' || CAST(c_custkey AS STRING) WHEN 1 THEN 'bad key ' || CAST(c_custkey AS STRING) END AS k FROM customer) "
-    f"SELECT c_custkey AS record_id, CASE WHEN k LIKE 'urn:%' THEN k WHEN k IS NOT NULL THEN '{_BASE}' || substr(sha256('key:' || k), 1, 32) ELSE '{_BASE}' || substr(sha256(length(type) || ':' || type || length(name) || ':' || name || list_aggregate(list_transform(d, x -> length(x) || ':' || x), 'string_agg', '')), 1, 32) END AS iri, '\"' || replace(replace(replace(name || chr(10) || '\"x\\', '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n') || '\"' AS label FROM c"
+    f"SELECT c_custkey AS record_id, CASE WHEN k LIKE 'urn:%' THEN k WHEN k IS NOT NULL THEN '{_BASE}' || substr(sha256('key:' || k), 1, 32) ELSE '{_BASE}' || substr(sha256(length(type) || ':' || type || length(name) || ':' || name || list_aggregate(list_transform(d, lambda x: length(x) || ':' || x), 'string_agg', '')), 1, 32) END AS iri, '\"' || replace(replace(replace(name || chr(10) || '\"x\\', '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n') || '\"' AS label FROM c"
 )
 def turtle_individuals(spark, sf_dir):
     c = table(spark, sf_dir, "customer")

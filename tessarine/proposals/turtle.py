@@ -22,7 +22,7 @@ def escaped(c: Column) -> Column:
     for a, b in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         out = F.replace(out, F.lit(a), F.lit(b))
     for k in (*range(1, 9), 11, 12, *range(14, 32)):
-        out = F.when(F.contains(out, F.lit(chr(k))), F.replace(out, F.lit(chr(k)), F.lit(f"\\u{k:04X}"))).otherwise(out)
+        out = F.replace(out, F.lit(chr(k)), F.lit(f"\\u{k:04X}"))
     return out
 
 
