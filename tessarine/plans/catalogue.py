@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import similarity, text
 from ..operators import blocking, compare, estimate, grounding, metrics, records, review, score
 from ..operators.cluster import components
-from ..proposals import chain, checks, confidence, declared, turtle
+from ..proposals import chain, checks, confidence, declared, harness, turtle
+from ..sources import variants
 from . import linkage
 
 PART_FIELDS = ["p_name", "p_brand", "p_type", "p_size"]
@@ -709,6 +710,80 @@ def candidate_verdicts(spark, sf_dir):
     return chain.candidate_verdicts(sql_input(spark, sf_dir, _JUDGED), sql_input(spark, sf_dir, _TRUTH))
 
 
+# ---------------------------------------------------------------- a caller's measurements
+
+_QUESTIONS = "SELECT 'q' || CAST(n_nationkey % 8 AS STRING) AS question, n_name AS concept, substr(n_name, 1, 4) AS a1, substr(n_name, 2, 5) AS a2 FROM nation"
+_TERMS_A = "SELECT DISTINCT 'in ' || n_name AS term FROM nation WHERE n_nationkey % 3 > 0"
+_TERMS_B = "SELECT DISTINCT lower(n_name) || ' ' || c_mktsegment AS term FROM customer JOIN nation ON c_nationkey = n_nationkey"
+_REACH = lambda v: f"(SELECT question, count(*) AS n_concepts, sum(CAST(EXISTS (SELECT 1 FROM ({v}) v WHERE contains(lower(v.term), lower(q.a1)) OR contains(lower(v.term), lower(q.a2))) AS BIGINT))::BIGINT AS n_reached FROM (SELECT DISTINCT * FROM ({_QUESTIONS})) q GROUP BY question)"
+
+
+def questions(spark, sf_dir) -> DataFrame:
+    return sql_input(spark, sf_dir, _QUESTIONS).select("question", "concept", F.array("a1", "a2").alias("alternatives"))
+
+
+@query(f"SELECT question, n_concepts, n_reached, n_concepts = n_reached AS reached FROM {_REACH(_TERMS_A)}")
+def question_reach(spark, sf_dir):
+    return harness.reach(questions(spark, sf_dir), sql_input(spark, sf_dir, _TERMS_A))
+
+
+@query(f"SELECT count(*) AS n_unnamed, count(*) FILTER (WHERE b.n_concepts = b.n_reached) AS n_inferred FROM {_REACH(_TERMS_A)} a JOIN {_REACH(_TERMS_B)} b USING (question) WHERE a.n_concepts > a.n_reached")
+def inferred_reach(spark, sf_dir):
+    return harness.inferred_reach(questions(spark, sf_dir), sql_input(spark, sf_dir, _TERMS_A), sql_input(spark, sf_dir, _TERMS_B))
+
+
+@query("WITH r AS (SELECT unnest([0, 1, 2, 3, 4])::INT AS step), k AS (SELECT step, round(step * (SELECT count(*) FROM nation) / 4.0)::BIGINT AS n_kept FROM r) SELECT step, n_kept, n_name AS item FROM k LEFT JOIN nation ON n_nationkey + 1 <= n_kept")
+def declaration_ladder(spark, sf_dir):
+    return harness.ladder(sql_input(spark, sf_dir, "SELECT n_name AS item, n_nationkey + 1 AS ord FROM nation"), 4)
+
+
+_FACTS = "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'Order-' ELSE 'order ' END || CAST(o_custkey % 20 AS STRING) AS subject, CASE o_orderkey % 4 WHEN 0 THEN 'is-a' WHEN 1 THEN 'instance-of' ELSE 'placed' END AS predicate, CASE o_orderkey % 5 WHEN 0 THEN 'Thing' WHEN 1 THEN 'thing ' ELSE 'order' || CAST(o_custkey % 6 AS STRING) END AS object, o_orderkey AS ord FROM orders"
+_DECLARATIONS = f"t AS (SELECT trim(subject) AS s, predicate, trim(object) AS o, ord FROM ({_FACTS})), k AS (SELECT *, {_NAME('s')} AS ks, {_NAME('o')} AS ko FROM t WHERE predicate <> 'instance-of'), g AS (SELECT * FROM k WHERE ks <> '' AND ko <> '' AND ks <> ko), n AS (SELECT ks, first(s ORDER BY ord) AS subject FROM g GROUP BY ks), l AS (SELECT ks, predicate, ko, first(o ORDER BY ord) AS target FROM g GROUP BY ks, predicate, ko)"
+
+
+@query(f"WITH {_DECLARATIONS} SELECT subject, CASE predicate WHEN 'is-a' THEN 'super type' ELSE predicate END AS relation, target FROM l JOIN n USING (ks)")
+def declarations_from_triples(spark, sf_dir):
+    return harness.declarations(sql_input(spark, sf_dir, _FACTS), folded=False)
+
+
+@query(f"WITH {_DECLARATIONS}, y AS (SELECT {_NAME('object')} AS kk, first(trim(object) ORDER BY ord) AS name FROM ({_FACTS}) WHERE predicate = 'instance-of' GROUP BY 1) SELECT name FROM y WHERE kk <> '' AND kk NOT IN (SELECT ks FROM n)")
+def known_types_left(spark, sf_dir):
+    facts = sql_input(spark, sf_dir, _FACTS)
+    types = facts.where("predicate = 'instance-of'").select(F.trim("object").alias("name"), "ord")
+    return harness.undeclared_types(types, harness.declarations(facts, folded=False), False)
+
+
+_CALLS = "SELECT o_custkey % 9 AS batch, 'k' || CAST(o_orderkey AS STRING) AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'k' || CAST(o_orderkey % 50 AS STRING) END AS known_key, o_orderkey % 2 = 0 AS denoted FROM orders"
+_BEFORE = "SELECT r_regionkey + n_nationkey % 4 AS batch, 'k' || CAST(n_nationkey AS STRING) AS key FROM nation JOIN region ON r_regionkey = n_regionkey"
+
+
+@query(f"WITH e AS ({_CALLS}), b AS (SELECT DISTINCT batch, key FROM ({_BEFORE})), j AS (SELECT e.*, b.key IS NOT NULL AS m FROM e LEFT JOIN b ON e.batch = b.batch AND e.known_key = b.key) SELECT batch, count(*) AS n_entities, sum(CAST(m AS BIGINT))::BIGINT AS n_matched, sum(CAST(NOT m AND denoted AS BIGINT))::BIGINT AS n_made_known, sum(CAST(NOT m AND NOT denoted AS BIGINT))::BIGINT AS n_mentioned FROM j GROUP BY batch")
+def chain_step_report(spark, sf_dir):
+    return harness.step_report(sql_input(spark, sf_dir, _CALLS), sql_input(spark, sf_dir, _BEFORE))
+
+
+_REJECTED = "SELECT 'r' || CAST(o_orderkey AS STRING) AS element_id, 'no such end (e' || CAST(o_custkey AS STRING) || ' -> e' || CAST(o_custkey * 2 AS STRING) || ')' AS detail FROM orders"
+_NAMED = "SELECT 'e' || CAST(c_custkey AS STRING) AS entity_id, c_name AS name FROM customer"
+
+
+@query(f"WITH r AS ({_REJECTED}), e AS ({_NAMED}), x AS (SELECT element_id, regexp_extract(detail, '\\((.+?) -> (.+?)\\)', 1) AS a, regexp_extract(detail, '\\((.+?) -> (.+?)\\)', 2) AS b FROM r) SELECT element_id, p.name AS from_name, q.name AS to_name FROM x LEFT JOIN e p ON x.a = p.entity_id LEFT JOIN e q ON x.b = q.entity_id")
+def rejection_ends(spark, sf_dir):
+    return harness.rejection_ends(sql_input(spark, sf_dir, _REJECTED), sql_input(spark, sf_dir, _NAMED))
+
+
+_PAD = "SELECT a.c_custkey AS id_a, b.c_custkey AS id_b FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey AND a.c_nationkey = b.c_nationkey AND upper(trim(a.c_mktsegment)) = upper(trim(b.c_mktsegment))"
+
+
+@query(_PAD)
+def source_invariance(spark, sf_dir):
+    """Padded and lower-cased values bring the same pairs together as the values themselves."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_nationkey").cast("string").alias("nation"), "c_mktsegment")
+    for v in ("lower", "padded"):
+        c = variants.rewritten(c, ["c_mktsegment", "nation"], v)
+    ready = records.prepared(c, ["c_mktsegment", "nation"], folded=False)
+    return blocking.blocked_pairs(ready, [["nation", "c_mktsegment"]]).select(F.col("a_ord").alias("id_a"), F.col("b_ord").alias("id_b"))
+
+
 # ---------------------------------------------------------------- rows only: no SQL twin has these semantics
 
 
