@@ -10,9 +10,9 @@ anchor the gram's hash and the hash of its context (all windows over it) are sen
 * a gram with one context, or in one document, has nothing to compare: settled;
 * what is left, the ends of repeats, goes to the suffix sort as text, routed by gram, so equal windows meet in one task.
 
-The sort in each task is the difference-cover algorithm for triples, on letters of 8 bytes: the text is read as 8 strings of
+The sort in each task is the difference-cover algorithm for triples, on letters of 7 bytes: the text is read as 7 strings of
 letters, one for each offset; the triples at places 1 and 2 modulo 3 are sorted and named; the recursion sorts triples of
-names, which spell 72 bytes and so end it, as only `length` bytes matter; the places 0 modulo 3 are merged in by their letter
+names, which spell 63 bytes and so end it, as only `length` bytes matter; the places 0 modulo 3 are merged in by their letter
 and the name after it. Adjacent suffixes are compared on `length` bytes, and each run of equal ones knows its smallest id.
 
 A gram with very many contexts is routed window by window instead, by a hash of the window. Copies within a block of rows are
@@ -25,6 +25,7 @@ is removed is judged on the input and joined bytewise, so it may cut a character
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import zlib
 
@@ -41,6 +42,8 @@ LENGTH, GRAM = 50, 24
 HOT = 50_000
 _NULL_ID = -(2**63)
 _SLICE = 1_000_000
+#: Bytes of text whose anchors are sorted and sent at once.
+BLOCK = 20_000_000
 _U = np.uint64
 _BASE = 0x5851F42D4C957F2D | 1
 _COPY, _SORT, _SPLIT = 0, 1, 2
@@ -145,6 +148,15 @@ def _unpacked(blob: bytes) -> tuple:
     return kind, gram, low.astype(_U) | high.astype(_U) << _U(32), ids[doc], keys[doc], place
 
 
+def _trim() -> None:
+    """Gives freed memory back: a worker lives on after a task, and executors have little to spare."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _row_key(text):
     return F.hash(text)
 
@@ -152,8 +164,18 @@ def _row_key(text):
 def _anchor_blobs(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
     """bucket, blob: the anchors of every block of rows by bucket; copies within the block apart."""
 
+    def blocks(batches):
+        """The batches, cut so that a block holds some BLOCK bytes of text."""
+        for batch in batches:
+            upto = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
+            i = 0
+            while i < batch.num_rows:
+                j = min(batch.num_rows, max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + BLOCK, side="right"))))
+                yield batch.slice(i, j - i)
+                i = j
+
     def run(batches):
-        for block, batch in enumerate(batches):
+        for block, batch in enumerate(blocks(batches)):
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = batch.column(2).cast(pa.large_string())
             upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -170,6 +192,7 @@ def _anchor_blobs(docs: DataFrame, buckets: int, length: int, gram: int) -> Data
             if not found:
                 continue
             g, c, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
             if not len(g):
                 continue
             bucket = ((g >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
@@ -195,6 +218,8 @@ def _anchor_blobs(docs: DataFrame, buckets: int, length: int, gram: int) -> Data
                 out_b.append((block * 7919 + int(g[0])) % buckets)
                 out.append(_packed(_COPY, np.zeros(k.sum(), _U), np.zeros(k.sum(), _U), doc[k], at[k], ids, keys))
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "blob"])
+            del found, g, c, doc, at, bucket, order, new, least, first, out
+            _trim()
 
     return docs.mapInArrow(run, "bucket int, blob binary")
 
@@ -210,16 +235,22 @@ def _settled(blobs: DataFrame, hot: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(place), pa.array(np.broadcast_to(kind, n).astype(np.int32)), pa.array(np.broadcast_to(route, n).astype(np.int64))], names=["doc_id", "row_key", "place", "kind", "route"])
 
     def run(batches):
-        by: dict[int, list] = {}
+        by: dict[int, list[bytes]] = {}  # compressed until their bucket's turn
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                kind, *columns = _unpacked(blob.as_py())
+                by.setdefault(b, []).append(blob.as_py())
+        for b in sorted(by):
+            parts = []
+            for blob in by.pop(b):
+                kind, *columns = _unpacked(blob)
                 if kind == _COPY:
                     yield rows(columns[2], columns[3], columns[4], _COPY, 0)
                 else:
-                    by.setdefault(b, []).append(columns)
-        for b in sorted(by):
-            g, c, doc, key, place = (np.concatenate(x) for x in zip(*by.pop(b), strict=True))
+                    parts.append(columns)
+            if not parts:
+                continue
+            g, c, doc, key, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
             order = np.argsort(g, kind="stable")
             g = g[order]
             new = np.ones(len(g), bool)
@@ -244,6 +275,7 @@ def _settled(blobs: DataFrame, hot: int) -> DataFrame:
             if copy.any():
                 yield rows(doc[copy], key[copy], place[copy], _COPY, 0)
             todo = ~copy & several_docs & (contexts > 1)
+            _trim()
             if todo.any():
                 route = _mix(g[todo] + _U(b) * _U(0x9E3779B97F4A7C15)).view(np.int64)
                 yield rows(doc[todo], key[todo], place[todo], np.where(contexts[todo] > hot, _SPLIT, _SORT), route)
@@ -282,9 +314,24 @@ def _contexts(joined: DataFrame, length: int, gram: int) -> DataFrame:
     return joined.mapInArrow(run, "route long, doc_id long, row_key int, begin long, context binary")
 
 
-def _names(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the rows by the columns, and their names: equal rows, equal names, from 1 on in order."""
-    order = np.lexsort(columns[::-1])
+def _packed_keys(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns of whole numbers that order rows like the given ones: a single one if three fields of 21 bits hold them."""
+    if len(columns) > 1 and len(columns) <= 3 and all(len(c) == 0 or int(c.max()) < 2**21 for c in columns):
+        key = columns[0].astype(np.int64)
+        for c in columns[1:]:
+            key = key << 21 | c
+        return [key]
+    return columns
+
+
+def _order(columns: list[np.ndarray]) -> np.ndarray:
+    return np.argsort(columns[0]) if len(columns) == 1 else np.lexsort(columns[::-1])
+
+
+def _names(columns: list[np.ndarray]) -> np.ndarray:
+    """The rows' names: equal rows, equal names, from 1 on in order."""
+    columns = _packed_keys(columns)
+    order = _order(columns)
     new = np.zeros(len(order), bool)
     new[:1] = True
     for c in columns:
@@ -292,76 +339,74 @@ def _names(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         new[1:] |= s[1:] != s[:-1]
     names = np.empty(len(order), np.int64)
     names[order] = np.cumsum(new)
-    return order, names
+    return names
+
+
+LETTER = 7
+DEPTH = 9 * LETTER
 
 
 def suffix_order(data: np.ndarray, ends: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """The order of all suffixes by their first bytes, depth at least (72 at most); a suffix ends with its text.
+    """The order of all suffixes by their first bytes, depth at least (DEPTH at most); a suffix ends with its text.
 
-    ends[i] is where the text of position i ends. Difference cover {1, 2} modulo 3 over letters of 8 bytes.
+    ends[i] is where the text of position i ends. Difference cover {1, 2} modulo 3 over letters of 7 bytes.
     """
-    if depth > 72:
-        raise ValueError("names of two levels spell 72 bytes")
+    if depth > DEPTH:
+        raise ValueError(f"names of two levels spell {DEPTH} bytes")
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
     at = np.arange(n)
-    padded = np.concatenate([data.astype(_U) + _U(1), np.zeros(8, _U)])
-    # letters: 8 bytes of 9 bits would not fit, so bytes past the end are 0 and the length breaks the tie
-    letter = np.zeros(n, _U)
+    padded = np.concatenate([data, np.zeros(LETTER, np.uint8)])
     left = ends - at
-    for j in range(8):
-        letter = letter << _U(8) | np.where(left > j, padded[at + j] - _U(1), _U(0)).astype(_U)
-    short = np.minimum(left, 8).astype(np.int8)
-    # a letter's name: order of (bytes, how many of them are there)
-    _, letter = _names([letter, short])
-    letter = np.append(letter, 0)
+    letter = np.zeros(n, _U)
+    for j in range(LETTER):  # bytes past the end are 0, and how many are there breaks the tie
+        letter = letter << _U(8) | np.where(left > j, padded[j : j + n], 0).astype(_U)
+    letter = np.append(_names([letter << _U(8) | np.minimum(left, LETTER).astype(_U)]), 0)
 
     def shifted(values: np.ndarray, by: int) -> np.ndarray:
         """values at the place so many letters on, 0 past the text's end; values has a 0 at its own end."""
-        return values[np.where(left > 8 * by, at + 8 * by, n)]
+        return values[np.where(left > LETTER * by, at + LETTER * by, n)]
 
     # the place of a position in its string of letters, counted within its text
     start = np.concatenate([[0], np.flatnonzero(np.diff(ends)) + 1])
-    inside = at - np.repeat(start, np.diff(np.append(start, n)))
-    sampled = inside // 8 % 3 != 0
+    residue = (at - np.repeat(start, np.diff(np.append(start, n)))) // LETTER % 3
+    sampled = residue != 0
     first, second = shifted(letter, 1), shifted(letter, 2)
-    _, names = _names([letter[:-1][sampled], first[sampled], second[sampled]])
     level = np.zeros(n + 1, np.int64)
-    level[:-1][sampled] = names
-    # recursion on names: three letters on, a sampled place is sampled again; triples of names spell 72 bytes
-    third, sixth = shifted(level, 3), shifted(level, 6)
-    _, names = _names([level[:-1][sampled], third[sampled], sixth[sampled]])
+    level[:-1][sampled] = _names([letter[:-1][sampled], first[sampled], second[sampled]])
+    # recursion on names: three letters on, a sampled place is sampled again; triples of names spell DEPTH bytes
     rank = np.zeros(n + 1, np.int64)
-    rank[:-1][sampled] = names
+    rank[:-1][sampled] = _names([level[:-1][sampled], shifted(level, 3)[sampled], shifted(level, 6)[sampled]])
     # the places 0 modulo 3: their letter, then the rank one letter on
-    rest = ~sampled
     one, two = shifted(rank, 1), shifted(rank, 2)
     # merge: against a place 1 mod 3 both are (letter, rank one on); against 2 mod 3 (letter, letter, rank two on)
-    order_s = np.flatnonzero(sampled)[np.argsort(rank[:-1][sampled], kind="stable")]
-    rest_at = np.flatnonzero(rest)
-    order_r = rest_at[np.lexsort((one[rest_at], letter[:-1][rest_at]))]
-    return _merged(order_s, order_r, inside // 8 % 3, letter[:-1], first, one, two)
+    order_s = np.flatnonzero(sampled)
+    order_s = order_s[np.argsort(rank[:-1][sampled])]
+    order_r = np.flatnonzero(~sampled)
+    order_r = order_r[_order(_packed_keys([letter[:-1][order_r], one[order_r]]))]
+    return _merged(order_s, order_r, residue, letter[:-1], first, one, two)
 
 
 def _merged(order_s, order_r, residue, letter, first, one, two) -> np.ndarray:
     """One order from those of the sampled places and of the others."""
     s1, s2 = order_s[residue[order_s] == 1], order_s[residue[order_s] == 2]
 
-    def below(keys_s: list[np.ndarray], keys_r: list[np.ndarray]) -> np.ndarray:
-        """How many of the s rows come before each r row; both are sorted."""
-        ns, nr = len(keys_s[0]), len(keys_r[0])
-        both = [np.concatenate([s, r]) for s, r in zip(keys_s, keys_r, strict=True)]
-        tie = np.concatenate([np.zeros(ns, np.int8), np.ones(nr, np.int8)])
-        order = np.lexsort((tie, *both[::-1]))
-        is_s = order < ns
-        count = np.cumsum(is_s)
-        out = np.empty(nr, np.int64)
-        out[order[~is_s] - ns] = count[~is_s]
+    def below(s: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+        """How many of the sampled places s come before each of the others; both are sorted."""
+        both = np.concatenate([s, order_r])
+        keys = _packed_keys([c[both] for c in columns])
+        if len(keys) == 1:
+            return np.searchsorted(np.sort(keys[0][: len(s)]), keys[0][len(s) :])
+        tie = np.concatenate([np.zeros(len(s), np.int8), np.ones(len(order_r), np.int8)])
+        order = np.lexsort((tie, *keys[::-1]))
+        is_s = order < len(s)
+        out = np.empty(len(order_r), np.int64)
+        out[order[~is_s] - len(s)] = np.cumsum(is_s)[~is_s]
         return out
 
-    before = below([letter[s1], one[s1]], [letter[order_r], one[order_r]]) + below([letter[s2], first[s2], two[s2]], [letter[order_r], first[order_r], two[order_r]])
-    place = before + np.arange(len(order_r))
+    # beyond DEPTH bytes the keys may disagree on ties; any order of these will do, so the counts are made to ascend
+    place = np.maximum.accumulate(below(s1, [letter, one]) + below(s2, [letter, first, two])) + np.arange(len(order_r))
     out = np.empty(len(order_s) + len(order_r), np.int64)
     is_r = np.zeros(len(out), bool)
     is_r[place] = True
@@ -410,7 +455,7 @@ def _sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
         route, upto = route[order], np.cumsum(sizes)
         i, n = 0, len(order)
         while i < n:
-            j = min(n, max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + 2_000_000, side="right"))))
+            j = min(n, max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + 1_000_000, side="right"))))
             while j < n and route[j] == route[j - 1]:
                 j += 1
             part = whole.take(pa.array(order[i:j]))
@@ -420,6 +465,7 @@ def _sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
                 begin = part.column("begin").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(part.column("doc_id").to_numpy()[some]), pa.array(part.column("row_key").to_numpy()[some]), pa.array([found[k] + begin[k] for k in some], pa.list_(pa.int64()))], names=["doc_id", "row_key", "starts"])
             i = j
+        _trim()
 
     return contexts.mapInArrow(run, "doc_id long, row_key int, starts array<long>")
 
@@ -429,14 +475,14 @@ REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans and the kept bytes."""
-    if not 8 <= gram <= length <= 72:
-        raise ValueError("grams need 8 bytes, windows those of a gram at least and 72 at most")
+    if not 8 <= gram <= length <= DEPTH:
+        raise ValueError(f"grams need 8 bytes, windows those of a gram at least and {DEPTH} at most")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = length - gram + 1
     text = whole_text()
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), _row_key(text).alias("row_key"), text.alias("text"))
-    found = written(_settled(_anchor_blobs(own, n, length, gram).repartition(n, "bucket"), hot), "repeat-anchors")
+    found = written(_settled(_anchor_blobs(own, n, length, gram).repartitionById(n, "bucket"), hot), "repeat-anchors")
     spark._jvm.System.gc()  # lets go of the shuffle of the anchors
     todo = found.where(F.col("kind") != _COPY).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("place", "kind", "route")).alias("todo"))
     contexts = _contexts(own.join(todo, ["doc_id", "row_key"]), length, gram)

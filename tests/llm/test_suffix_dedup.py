@@ -10,7 +10,10 @@ from tessarine.llm import suffix_dedup as S
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_suffix_order(seed):
+@pytest.mark.parametrize("packed", [True, False])
+def test_suffix_order(seed, packed, monkeypatch):
+    if not packed:
+        monkeypatch.setattr(S, "_packed_keys", lambda columns: columns)
     r = random.Random(seed)
     letters = [b"ab", b"a", bytes(range(256)), b"\0a", b"abc", b"\0\xff"][seed]
     texts = [bytes(r.choice(letters) for _ in range(r.choice([0, 1, 3, 8, 23, 24, 25, 70, 150]))) for _ in range(40)]
@@ -19,7 +22,7 @@ def test_suffix_order(seed):
     data = np.frombuffer(b"".join(texts), np.uint8)
     order = S.suffix_order(data, ends[of])
     assert sorted(order) == list(range(len(data)))
-    whole = [data[i : min(ends[of[i]], i + 72)].tobytes() for i in range(len(data))]
+    whole = [data[i : min(ends[of[i]], i + S.DEPTH)].tobytes() for i in range(len(data))]
     assert [whole[i] for i in order] == sorted(whole)
 
 
