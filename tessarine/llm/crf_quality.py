@@ -163,6 +163,16 @@ def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return data, starts, ends, doc
 
 
+def _slices(texts: pa.Array):
+    """The texts in slices of some _SLICE bytes."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    i, n = 0, len(texts)
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _SLICE, side="right"))))
+        yield texts.slice(i, j - i)
+        i = j
+
+
 def raw_quality(texts: pa.Array, model: dict) -> np.ndarray:
     """The length-weighted mean marginal of good of every text."""
     data, starts, ends, doc = _lines(texts)
@@ -177,12 +187,20 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, penalty: flo
     labels = np.asarray(labels)
     if not len(labels) or labels.min() == labels.max():
         return None
-    data, starts, ends, doc = _lines(pa.array(texts, pa.large_string()))
-    x, _ = line_features(data, starts, ends, doc)
-    sizes = np.bincount(doc, minlength=len(texts))
+    whole = pa.array(texts, pa.large_string())
+    found, sizes = [], []
+    for part in _slices(whole):  # the features need several numbers a byte, for a slice at a time
+        data, starts, ends, doc = _lines(part)
+        found.append(line_features(data, starts, ends, doc)[0])
+        sizes.append(np.bincount(doc, minlength=len(part)))
+    x, sizes = np.concatenate(found), np.concatenate(sizes)
+    del found
+    doc = np.repeat(np.arange(len(texts)), sizes)
     mean, scale = x.mean(0), x.std(0)
     mean[-1], scale[scale < 1e-9] = 0, 1
-    z = (x - mean) / scale
+    x -= mean
+    x /= scale
+    z = x
     # each label weighs as much, each document as much
     of = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum()) / sizes
     truth = labels[doc].astype(float)
@@ -207,7 +225,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, penalty: flo
         weights = weights + 0.5 * velocity
         trans = np.clip(trans + 0.05 * velocity_t, -3, 3)
     model = {"mean": mean, "scale": scale, "weights": weights, "trans": trans}
-    raw = np.clip(raw_quality(pa.array(texts, pa.large_string()), model), 1e-6, 1 - 1e-6)
+    raw = np.clip(np.concatenate([raw_quality(part, model) for part in _slices(whole)]), 1e-6, 1 - 1e-6)
     model["slope"], model["shift"] = _calibrated(np.log(raw / (1 - raw)), labels)
     return model
 
@@ -248,18 +266,15 @@ def score(docs: DataFrame, model: dict | None, prior: float = 0.5) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1)
-            upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-            i, n = 0, len(texts)
-            while i < n:
-                j = min(n, max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _SLICE, side="right"))))
+            i = 0
+            for part in _slices(batch.column(1)):
                 if model is None:
-                    p = np.full(j - i, prior)
+                    p = np.full(len(part), prior)
                 else:
-                    raw = np.clip(raw_quality(texts.slice(i, j - i), model), 1e-6, 1 - 1e-6)
+                    raw = np.clip(raw_quality(part, model), 1e-6, 1 - 1e-6)
                     p = 1 / (1 + np.exp(-(model["slope"] * np.log(raw / (1 - raw)) + model["shift"])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(p)], names=["doc_id", "score"])
-                i = j
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), pa.array(p)], names=["doc_id", "score"])
+                i += len(part)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, score double")
 
