@@ -113,7 +113,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
         np.cumsum(_BYTES[data] * power[:-1], out=upto[1:], dtype=_U)
         shape = (at - begin).astype(_U) * _U(1024) + (end - begin).astype(_U)
         context = _mix(_mix((upto[end] - upto[begin]) * inverse[begin]) + shape * _U(0x9E3779B97F4A7C15))
-    return h[at], context, of, at - offsets[of]
+    # an anchor is the least of many hashes; mixed once more, grams spread evenly over the buckets
+    return _mix(h[at]), context, of, at - offsets[of]
 
 
 def _packed(kind: int, gram: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> bytes:
