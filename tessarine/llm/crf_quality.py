@@ -6,8 +6,8 @@ the weights come from maximising the conditional likelihood of labelled document
 expectations). A document's raw quality is the mean of its lines' marginals of "good", weighted by length, and two numbers
 fitted on the training documents map that to a probability of the label 1.
 
-The model is fitted on the driver from a sample of labelled documents, drawn by hash and bounded by SAMPLE documents and by
-LINES lines of each (both parameters; they bound the training only). Scoring reads every line of every text.
+The model is fitted on the driver from a sample of labelled documents, drawn by hash and bounded by SAMPLE documents a label
+(a parameter; it bounds the training only). Training and scoring read every line of the texts they take.
 
 Nulls: a null or empty text is one empty line and gets a score like any other. Labels that are null are ignored; a document
 with several labels takes the lowest. Without labels of both kinds every score is the share of label 1 (0.5 if there are
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 
-SAMPLE, LINES, ROUNDS, PENALTY, CUT = 2000, 60, 120, 1e-3, 0.7
+SAMPLE, ROUNDS, PENALTY, CUT = 2000, 120, 1e-3, 0.7
 _SLICE = 1_000_000
 _KINDS = 8
 _CLASS = np.zeros(256, np.uint8)
@@ -248,16 +248,15 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> list:
-    """(text, quality) of at most `sample` labelled documents of each label, in hash order; the first `lines` lines of each."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list:
+    """(text, quality) of at most `sample` labelled documents of each label, in hash order; the texts are whole."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.where(~held_out()).withColumn("_order", F.xxhash64(F.lit(5), "doc_id"))
     chosen = None
     for q in (0, 1):
         part = known.where(F.col("quality") == q).orderBy("_order", "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
-    cut = F.array_join(F.slice(F.split(whole_text(), "\n"), 1, lines), "\n")
-    rows = docs.select("doc_id", cut.alias("text")).join(F.broadcast(chosen), "doc_id").select("_order", "doc_id", "text", "quality").toArrow()
+    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("_order", "doc_id", "text", "quality").toArrow()
     return sorted(rows.to_pylist(), key=lambda r: (r["_order"], r["doc_id"], r["text"]))
 
 
@@ -279,9 +278,9 @@ def score(docs: DataFrame, model: dict | None, prior: float = 0.5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES, cut: float = CUT) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs."""
-    rows = training_rows(docs, labels, sample, lines)
+    rows = training_rows(docs, labels, sample)
     y = np.array([r["quality"] for r in rows], np.int64)
     model = fit([r["text"] for r in rows], y)
     prior = float(y.mean()) if len(y) else 0.5

@@ -71,3 +71,20 @@ def test_held_out_accuracy(spark, none):
     one = Q.quality(docs, labels.where("quality = 1")).select("score").distinct().collect()
     assert [r[0] for r in one] == [1.0]
     assert Q.quality(none, labels).count() == 0
+
+
+def test_training_reads_whole_texts(spark):
+    """Junk after line 60 is all that tells the labels apart."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
+    clean = lambda: " ".join(word() for _ in range(6)).capitalize() + "."
+    rows = []
+    for i in range(80):
+        q = i % 2
+        rows.append((i, "\n".join([clean() for _ in range(61)] + [clean() if q else "!! ".join(word() for _ in range(6)).upper() for _ in range(40)]), q))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    labels = docs.select("doc_id", "quality")
+    assert {(t["doc_id"], t["text"]) for t in Q.training_rows(docs, labels)} == {(i, t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    got = {x.doc_id: x for x in Q.quality(docs, labels).collect()}
+    out = [(got[i].predicted, q) for i, _, q in rows if got[i].held_out]
+    assert {q for _, q in out} == {0, 1} and all(p == q for p, q in out)
