@@ -5,8 +5,10 @@ information says that no main data are used, so a player plays silence, and 576
 front are an ID3v2.3 tag and a frame at 32 kbit/s with a Xing table (frames, bytes, 100 seek points); an ID3v1 tag ends it.
 
 The reader takes any stream of MPEG-1, 2 or 2.5, layers I to III: it steps over tags, finds the frame headers again after
-foreign bytes (a header counts if another one or the end follows its frame), reads the variable-bitrate table, verifies the
-checksums of layer III frames, and gives the exact duration in samples and every frame's offset.
+foreign bytes, reads the variable-bitrate table (Xing, Info or VBRI), verifies the checksums of layer III frames (not those of
+layers I and II), and gives the exact duration in samples and every frame's offset. A header counts if another one or the end
+follows its frame. Before foreign bytes it counts if the frame's checksum is right or, where none is verified, if the frame
+directly follows one of its kind; not if another frame begins within it, as then it's a torn one.
 
 Nulls: a null text is an empty payload, padded to one unit; equal texts give equal bytes. Streams without a frame have
 duration 0. Null media give null fields. Other columns aren't read.
@@ -140,13 +142,35 @@ def read_stream(data: bytes) -> dict:
     def follows(p: int) -> bool:
         return p == end or parse_header(data[p : p + 4]) is not None
 
+    def kind(head: dict) -> tuple:
+        return tuple(head[k] for k in ("version", "layer", "hertz", "mono", "checked"))
+
+    def sums(rows: np.ndarray, head: dict) -> np.ndarray:
+        """Whether the checksums of layer III frames are right."""
+        given = rows[:, 4].astype(np.uint16) << np.uint16(8) | rows[:, 5]
+        return crc16(np.concatenate([rows[:, 2:4], rows[:, 6 : 6 + head["side"]]], axis=1)) == given
+
+    def intact(p: int, head: dict, ahead: tuple | None) -> bool:
+        """Whether the frame at p counts before foreign bytes; ahead is the kind of the frame that ends at p."""
+        stop, verified = p + head["size"], head["checked"] and head["layer"] == 3
+        if not (sums(raw[None, p:stop], head)[0] if verified else kind(head) == ahead):
+            return False
+        q = data.find(b"\xff", p + 1, stop)
+        while q >= 0:
+            inner = parse_header(data[q : q + 4])
+            if inner and kind(inner) == kind(head) and q + inner["size"] <= end and (sums(raw[None, q : q + inner["size"]], inner)[0] if verified else follows(q + inner["size"])):
+                return False
+            q = data.find(b"\xff", q + 1, stop)
+        return True
+
+    ahead = None
     while at + 4 <= end:
         head = parse_header(data[at : at + 4])
-        if head is None or at + head["size"] > end or not follows(at + head["size"]):
+        if head is None or at + head["size"] > end or not (follows(at + head["size"]) or intact(at, head, ahead)):
             found = data.find(b"\xff", at + 1, end)
             found = end if found < 0 else found
             out["skipped"] += found - at
-            at = found
+            at, ahead = found, None
             continue
         size = head["size"]
         # frames of the same header, as many as follow each other
@@ -154,14 +178,12 @@ def read_stream(data: bytes) -> dict:
         rows = raw[at : at + most * size].reshape(most, size)
         same = (rows[:, :4] == rows[0, :4]).all(1)
         n = int(same.argmin()) if not same.all() else most
-        if not follows(at + n * size):
-            n = max(1, n - 1)
+        if n > 1 and not follows(at + n * size) and not intact(at + (n - 1) * size, head, kind(head)):
+            n -= 1
         rows = rows[:n]
         if head["checked"] and head["layer"] == 3:
-            given = rows[:, 4].astype(np.uint16) << np.uint16(8) | rows[:, 5]
-            body = np.concatenate([rows[:, 2:4], rows[:, 6 : 6 + head["side"]]], axis=1)
             out["checks"] += n
-            out["bad_checks"] += int((crc16(body) != given).sum())
+            out["bad_checks"] += int((~sums(rows, head)).sum())
         first = 0
         if not offsets and out["table_frame"] is None:
             for p in (at + 4 + head["side"] + 2 * head["checked"], at + 4 + head["side"]):
@@ -175,13 +197,19 @@ def read_stream(data: bytes) -> dict:
                         table["toc"] = data[q : q + 100]
                     out["table"], out["table_frame"], first = table, (at, size), 1
                     break
+            p = at + 36  # wherever the side information ends
+            if first == 0 and data[p : p + 4] == b"VBRI" and p + 26 <= at + size:
+                n_bytes, frames, entries, scale, width, each = struct.unpack(">IIHHHH", data[p + 10 : p + 26])
+                toc = data[p + 26 : min(p + 26 + entries * width, at + size)]
+                steps = [int.from_bytes(toc[q : q + width], "big") * scale for q in range(0, len(toc), width)] if width else []
+                out["table"], out["table_frame"], first = {"kind": "VBRI", "frames": frames, "bytes": n_bytes, "toc": steps, "frames_a_step": each}, (at, size), 1
         if n > first:
             offsets.append(at + np.arange(first, n, dtype=np.int64) * size)
             sizes.append(np.full(n - first, size, np.int64))
             out["hertz"] = out["hertz"] or head["hertz"]
             out["samples"] += (n - first) * head["samples"]
             out["bits"].add(head["bits"])
-        at += n * size
+        at, ahead = at + n * size, kind(head)
     out["skipped"] += max(0, end - at)
     out["offsets"] = np.concatenate(offsets) if offsets else np.zeros(0, np.int64)
     out["sizes"] = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)

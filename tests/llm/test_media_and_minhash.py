@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -44,6 +45,38 @@ def test_reader_resynchronises_and_verifies():
     assert mpeg_audio.read_stream(b"")["samples"] == 0 and mpeg_audio.read_stream(b"no audio \xff\xfb here")["samples"] == 0
 
 
+def test_reader_keeps_the_frame_before_foreign_bytes():
+    payload = bytes(random.Random(3).randrange(256) for _ in range(576 * 9))
+    stream = mpeg_audio.write_stream(payload, len(payload))
+    cut, last = (int(mpeg_audio.read_stream(stream)["offsets"][k]) for k in (4, 8))
+    tag = b"APETAGEX" + bytes(24)
+    for hurt, skipped in [(stream[:cut] + tag + stream[cut:], 32), (stream[: last + 648] + tag + stream[last + 648 :], 32), (stream[:-128] + tag, 32)]:
+        got = mpeg_audio.read_stream(hurt)
+        assert got["skipped"] == skipped and len(got["offsets"]) == 9 and mpeg_audio.read_payload(hurt, got) == payload
+    two = stream + stream  # a tag of 128 bytes, one in front and a table frame of 144 between
+    got = mpeg_audio.read_stream(two)
+    assert (got["sizes"] == 648).sum() == 18 and mpeg_audio.read_payload(two, got) == payload * 2
+    # torn: the frame is lost, the one that begins within it is not
+    torn = stream[: cut + 300] + stream[cut + 648 :]
+    assert mpeg_audio.read_payload(torn, mpeg_audio.read_stream(torn)) == payload[: 576 * 4] + payload[576 * 5 :]
+    plain = bytes.fromhex("fffb9064") + bytes(413)
+    other = bytes.fromhex("fffba064") + bytes(518)
+    for frames, n in [(plain * 5, 5), (plain * 4 + other, 5)]:
+        got = mpeg_audio.read_stream(frames + tag)
+        assert (len(got["offsets"]), got["samples"], got["skipped"]) == (n, n * 1152, 32)
+    got = mpeg_audio.read_stream(plain * 3 + plain[:200] + plain * 3 + tag)
+    assert got["offsets"].tolist() == [0, 417, 834, 1451, 1868, 2285]
+    assert len(mpeg_audio.read_stream(b"junk" + plain + b"junk")["offsets"]) == 0  # no evidence
+
+
+def test_reader_reads_vbri():
+    plain = bytes.fromhex("fffb9064") + bytes(413)
+    table = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 2085, 4, 2, 3, 2, 2) + struct.pack(">HH", 278, 279)
+    got = mpeg_audio.read_stream(plain[:36] + table + plain[36 + len(table) :] + plain * 4)
+    assert got["table"] == {"kind": "VBRI", "frames": 4, "bytes": 2085, "toc": [834, 837], "frames_a_step": 2}
+    assert got["table_frame"] == (0, 417) and got["offsets"].tolist() == [417, 834, 1251, 1668] and got["samples"] == 4 * 1152
+
+
 @pytest.mark.parametrize("head,size,samples", [("fffb9064", 417, 1152), ("fffb9264", 418, 1152), ("fffd9064", 522, 1152), ("ffff9064", 312, 384), ("ffe35064", 144 * 40000 // 11025 // 2, 576)])
 def test_headers(head, size, samples):
     got = mpeg_audio.parse_header(bytes.fromhex(head))
