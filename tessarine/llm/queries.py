@@ -22,7 +22,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_line_dedup": line_dedup.ORACLE_SQL,
         "op10_mixing": mixing.ORACLE_SQL,
     }
