@@ -233,9 +233,23 @@ def near_duplicates(docs: DataFrame, k: int = K, share: int = SHARE, rows: int =
 
 
 def keep_one_each(docs: DataFrame, k: int = K, share: int = SHARE) -> DataFrame:
-    """docs without the rows whose component has a smaller id; columns as in docs."""
-    gone = near_duplicates(docs, k, share).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each group of near-duplicate rows, that with the smallest id (null is the smallest); columns as in docs.
+
+    Rows are decided one by one, also if they share an id or have none: of rows that share the smallest id, one stays. Blank
+    texts are in no group, but of those that share an id (or have none) one stays.
+    """
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
+    if docs.select(ids.alias("_id")).groupBy("_id").count().where("count > 1").isEmpty():
+        gone = near_duplicates(docs, k, share).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    # the rows get ids of their own; equal rows are interchangeable, so which of them stays makes no difference
+    rank = F.struct(ids.alias("id"), F.xxhash64(F.to_json(F.struct(*docs.columns))).alias("hash"))
+    keyed = written(docs.select("*", F.monotonically_increasing_id().alias("_row"), rank.alias("_rank")), "minhash-rows")
+    found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), k, share).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    found = found.join(keyed.select("_row", "_rank"), "_row")
+    blank = F.col("n_shingles") == 0
+    stay = found.groupBy(F.when(~blank, F.col("component_id")), F.when(blank, F.col("_rank.id"))).agg(F.min(F.struct("_rank", "_row")).alias("_least"))
+    return keyed.join(stay.select(F.col("_least._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:

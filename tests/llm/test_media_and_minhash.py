@@ -159,6 +159,23 @@ def test_components(spark, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_a_group_stays_whatever_its_id(spark):
+    r = random.Random(12)
+    a, b, c, d = (" ".join("".join(r.choice("abcdefg") for _ in range(5)) for _ in range(60)) for _ in range(4))
+    near = a + " tail"
+    rows = [(5, a), (5, a), (5, near), (7, near), (3, b), (3, c), (2, b), (None, d), (None, d), (None, d + " x"), (8, d), (None, c), (None, None), (None, None), (4, ""), (4, ""), (6, "")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, label string").repartition(3)
+    kept = minhash.keep_one_each(df)
+    assert kept.columns == ["doc_id", "text", "label"]
+    got = [(x.doc_id, x.text) for x in kept.collect()]
+    fives = [x for x in got if x[0] == 5]
+    assert len(fives) == 1 and fives[0][1] in (a, near)
+    nulls = [x for x in got if x[0] is None and (x[1] or "").startswith(d)]
+    assert len(nulls) == 1
+    rest = [x for x in got if x not in fives + nulls]
+    assert sorted(rest, key=str) == sorted([(2, b), (None, c), (None, None), (4, ""), (6, "")], key=str)
+
+
 def test_components_of_a_chain(spark):
     from tessarine.operators.cluster import components
 
