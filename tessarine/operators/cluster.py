@@ -2,37 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: str | None = None
-
-
-def _folder(spark: SparkSession) -> str:
-    global _own
-    if there := spark.conf.get("spark.checkpoint.dir", None):
-        return there.rstrip("/")
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="tessarine-")
-        atexit.register(shutil.rmtree, _own, True)
-    return f"file://{_own}"
-
-
-def _cut(df: DataFrame) -> tuple[DataFrame, str]:
-    """df as a table in the folder that executors share: cuts the lineage of an iteration."""
-    at = f"{_folder(df.sparkSession)}/links-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at), at
-
-
-def _remove(spark: SparkSession, at: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from .storage import dropped, written
 
 
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -43,21 +16,19 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     are long or string; loops and repeated links are harmless. A hot node's links are aggregated map side, and the joins back
     are left to skew handling. Nothing but two numbers a round comes to the driver.
     """
-    spark = links.sparkSession
-    pairs, at = _cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct())
+    pairs = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct(), "links")
     state = None
     for _ in range(most_rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        large, between = _cut(large)
+        large = written(large, "links")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         moved = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
-        after, there = _cut(moved)
-        _remove(spark, at)
-        _remove(spark, between)
-        pairs, at = after, there
+        after = written(moved, "links")
+        dropped(pairs, large)
+        pairs = after
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if tuple(now) == state:
             break

@@ -6,24 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key
-from ..operators.cluster import _cut, _remove
+from ..operators.storage import dropped, written
 
 
 def super_types(declared: DataFrame, most_rounds: int = 50) -> DataFrame:
     """sub, super: every super type that a subject reaches over declared ones (sub, super); cycles end by themselves.
 
-    Each round joins the last round's new pairs with the declared ones and keeps what is new, so work follows the growth.
+    Each round joins the last round's new pairs with all pairs known so far, which doubles the length of the paths, so rounds
+    follow the logarithm of the longest one. The tables of all rounds but the result's are deleted.
     """
-    spark = declared.sparkSession
-    base = declared.select("sub", "super").where("sub <> super").distinct()
-    known, at = _cut(base)
+    known = written(declared.select("sub", "super").where("sub <> super").distinct(), "kinds")
     new = known
     for _ in range(most_rounds):
-        step = new.withColumnRenamed("super", "_mid").join(base.withColumnRenamed("sub", "_mid"), "_mid").select("sub", "super").where("sub <> super").distinct()
-        more, there = _cut(step.join(known, ["sub", "super"], "left_anti"))
+        step = new.withColumnRenamed("super", "_mid").join(known.withColumnRenamed("sub", "_mid"), "_mid").select("sub", "super").where("sub <> super").distinct()
+        more = written(step.join(known, ["sub", "super"], "left_anti"), "kinds")
         if not more.take(1):
+            dropped(more, *([new] if new is not known else []))
             return known
-        both, here = _cut(known.union(more))
+        both = written(known.union(more), "kinds")
+        dropped(known, *([new] if new is not known else []))
         known, new = both, more
     raise RuntimeError("the declared kinds didn't settle")
 

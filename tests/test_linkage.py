@@ -176,3 +176,20 @@ def test_identity_view_and_folds(spark):
     assert [(r.k, r.v) for r in records.latest_versions(df, ["k"], ["v"], "gone").collect()] == [("b", 3)]
     j = records.flattened_json(spark.createDataFrame([('{"a":"x","b":null,"c":{"d":1}}',), ("[1]",), (None,)], "body string").coalesce(1), "body").collect()
     assert j[0].fields == {"a": "x", "b": None, "c": '{"d":1}'} and j[1].fields == j[2].fields == {}
+
+
+def test_tables_need_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tessarine.operators import storage
+
+    conf = lambda **k: SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: k.get(name.replace(".", "_"), default)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(conf(spark_master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        storage.shared_folder(conf(spark_master="local-cluster[2,1,1000]"))
+    assert storage.shared_folder(conf(spark_master="yarn", spark_checkpoint_dir="hdfs:///shared/")) == "hdfs:///shared"
+    table = storage.written(spark.range(5), "five")
+    assert table.count() == 5
+    storage.dropped(table)
+    assert not spark._jvm.java.io.File(table._tessarine_at.removeprefix("file:")).exists()
