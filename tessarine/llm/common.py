@@ -2,50 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.storage import dropped, shared_folder, written
+
+__all__ = ["BLANKS", "BLANK_RUN", "dropped", "in_global_order", "shared_folder", "whole_text", "words", "written"]
+
 #: The white space of every contract here: blank, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 
-_own: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    global _own
-    if there := spark.conf.get("spark.checkpoint.dir", None):
-        return there.rstrip("/")
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="tessarine-")
-        atexit.register(shutil.rmtree, _own, True)
-    return f"file://{_own}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    at = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    back = df.sparkSession.read.schema(df.schema).parquet(at)
-    back._tessarine_at = at
-    return back
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes a table made by written(), once nothing lazy reads it any more."""
-    at = getattr(df, "_tessarine_at", None)
-    if at:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
-
 
 def whole_text(name: str = "text") -> Column:
     """A null text counts as the empty one."""
