@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.storage import dropped, shared_folder, written
 
-__all__ = ["BLANKS", "BLANK_RUN", "dropped", "in_global_order", "shared_folder", "whole_text", "words", "written"]
+__all__ = ["BLANKS", "BLANK_RUN", "dropped", "in_global_order", "shared_folder", "span_hashes", "whole_text", "words", "written"]
 
 #: The white space of every contract here: blank, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\f\r"
@@ -48,3 +49,31 @@ def in_global_order(df: DataFrame, keys: list[str], amount: str | None = None, n
     starts = totals.select(F.col("_range"), F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("long")).alias("_start"))
     joined = placed.join(F.broadcast(starts), "_range")  # at most n rows
     return joined.withColumn(name, F.col("_start") + F.col("_own")).drop("_at", "_range", "_own", "_start")
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base & (2**64 - 1), np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray, base: int, step: int = 1_000_000) -> np.ndarray:
+    """The sum of values[byte] * base**place over the bytes of each span, modulo 2**64; spans ascend and don't overlap.
+
+    The bytes are read step by step, so that a long text needs no number of 8 bytes for each of its own.
+    """
+    out, size = np.zeros(len(starts), np.uint64), min(step, len(data))
+    power, inverse = _powers(base, size), _powers(pow(base, -1, 2**64), size + 1)
+    with np.errstate(over="ignore"):
+        for c0 in range(0, len(data), step):
+            c1 = min(c0 + step, len(data))
+            i, j = int(np.searchsorted(ends, c0, side="right")), int(np.searchsorted(starts, c1, side="left"))
+            if i >= j:
+                continue
+            s, e = np.clip(starts[i:j], c0, c1) - c0, np.clip(ends[i:j], c0, c1) - c0
+            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data[c0:c1]] * power[: c1 - c0], dtype=np.uint64)])
+            h = (run[e] - run[s]) * inverse[s]
+            if starts[i] < c0:  # only the first span may have begun before
+                h[0] *= np.uint64(pow(base, c0 - int(starts[i]), 2**64))
+            out[i:j] += h
+    return out

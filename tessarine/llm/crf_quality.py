@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, whole_text, written
+from .common import dropped, span_hashes, whole_text, written
 
 SAMPLE, ROUNDS, PENALTY, CUT = 2000, 50, 1e-3, 0.7
 _SLICE = STEP = 1_000_000
@@ -46,24 +46,17 @@ _CLASS[[ord(c) for c in "!?"]] = 5
 _CLASS[[9, 11, 12, 13, 32]] = 6
 _CLASS[128:192] = 7  # continuation bytes
 _BASE = 0x5851F42D4C957F2D
+_MARKS = np.arange(256, dtype=np.uint64) + np.uint64(0x9E37)
 OWN = ("capitals", "digits", "symbols", "marks", "other", "accents", "blanks", "word_length", "log_length", "short", "empty", "repeated", "ends_in_stop")
 _N = len(OWN)
 #: Sums travel as whole multiples of these.
 _FINE, _COARSE = 2.0**40, 2.0**30
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base & (2**64 - 1), np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 def line_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """Per line its bytes of each class, its words (the last column) and a hash; the bytes are read step by step."""
     n, kinds = len(starts), 8
-    counts, hashes = np.zeros((n, kinds + 1), np.uint32), np.zeros(n, np.uint64)
-    size = min(step, len(data))
-    power, inverse = _powers(_BASE, size), _powers(pow(_BASE, -1, 2**64), size + 1)
+    counts = np.zeros((n, kinds + 1), np.uint32)
     for c0 in range(0, len(data), step):
         c1 = min(c0 + step, len(data))
         i, j = int(np.searchsorted(ends, c0, side="right")), int(np.searchsorted(starts, c1, side="left"))
@@ -84,14 +77,8 @@ def line_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: in
         begins[first] = ~blank[first]
         upto = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
         counts[i:j, kinds] += (upto[e] - upto[s]).astype(np.uint32)
-        with np.errstate(over="ignore"):
-            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(0x9E37)) * power[: c1 - c0], dtype=np.uint64)])
-            h = (run[e] - run[s]) * inverse[s]
-            if starts[i] < c0:  # only the first line may have begun before
-                h[0] *= np.uint64(pow(_BASE, c0 - int(starts[i]), 2**64))
-            hashes[i:j] += h
     counts[:, 0] = (ends - starts).astype(np.uint32) - counts[:, 1:kinds].sum(1, dtype=np.uint32)
-    return counts, hashes
+    return counts, span_hashes(data, starts, ends, _MARKS, _BASE, step)
 
 
 def _repeated(hashes: np.ndarray, length: np.ndarray, doc: np.ndarray) -> np.ndarray:

@@ -10,10 +10,14 @@ Work never goes over all pairs of a table's bucket:
 1. Equal sets become one class; its copies never reach the tables.
 2. Keys that one class alone holds are left out before tables are formed.
 3. In every bucket, the classes are compared with the bucket's leader only, and what links is joined into components.
-4. Buckets that still hold several components compare pairs across components; each such pair is emitted in the first table
-   that it shares, and a pair within one component never.
+4. Classes of buckets that still hold several components are compared across components only where they share one of their
+   rarest shingles (an exact condition of the similarity), so a family of documents that share a template but stay below the
+   limit, each with enough of its own, is never compared pair by pair. What stays quadratic is a family whose members
+   share all their shingles with many others each, and yet not with one another.
 Whatever is compared is compared on the whole sets. Steps 3 and 4 give the components that all links would give.
 
+A text needs some ten times its bytes in one worker. Tables in the shared folder are deleted but for two that the result reads.
+
 Nulls: a null or blank text has no shingles, is linked with nothing and is its own component. Fewer words than k make one
 shingle of the whole sequence. A null id is treated as the smallest long and comes back as null. Rows that share an id are
 one node with the links of each. Equal rows get equal results. Extra columns are kept by keep_one_each().
@@ -29,14 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cluster import components
-from .common import dropped, whole_text, written
+from .common import dropped, span_hashes, whole_text, written
 
 K, SHARE, ROWS, SLOTS = 4, 80, 3, 24
 _NULL_ID = -(2**63)
 _SLICE = 2_000_000
 _U = np.uint64
 _BASE = 0x5851F42D4C957F2D | 1
-_INVERSE = pow(_BASE, -1, 2**64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,27 +69,23 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[n
     end = word.copy()
     end[:-1] &= ~word[1:] | start[1:]
     first, last = np.flatnonzero(start), np.flatnonzero(end)
+    del word, start, end
     with np.errstate(over="ignore"):
-        power = np.full(n, _BASE, _U)
-        power[0] = 1
-        power = np.cumprod(power, dtype=_U)
-        inverse = np.full(n, _INVERSE, _U)
-        inverse[0] = 1
-        inverse = np.cumprod(inverse, dtype=_U)
-        upto = np.zeros(n + 1, _U)
-        np.cumsum(_BYTES[data] * power, out=upto[1:], dtype=_U)
-        words = _mix((upto[last + 1] - upto[first]) * inverse[first] + (last - first + 1).astype(_U) * _U(0xD6E8FEB86659FD93))
+        words = _mix(span_hashes(data, first, last + 1, _BYTES, _BASE) + (last - first + 1).astype(_U) * _U(0xD6E8FEB86659FD93))
     per = np.diff(np.searchsorted(first, offsets))
     counts = np.where(per >= k, per - k + 1, (per > 0).astype(np.int64))
     w = np.cumsum(per) - per  # the first word of each text
-    at = np.repeat(w - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    size = np.repeat(np.minimum(per, k), counts)
-    out = size.astype(_U) * _U(0xA24BAED4963EE407)
-    with np.errstate(over="ignore"):
-        for j in range(k):
-            inside = j < size
-            here = words[np.minimum(at + j, max(len(words) - 1, 0))] if len(words) else np.zeros(len(at), _U)
-            out = np.where(inside, _mix(out + here + _U(0x9E3779B97F4A7C15)), out)
+    ends = np.cumsum(counts)
+    out = np.empty(int(ends[-1]) if texts else 0, _U)
+    for f in range(0, len(out), 200_000):
+        here = np.arange(f, min(f + 200_000, len(out)))
+        of = np.searchsorted(ends, here, side="right")
+        at, size = w[of] + here - (ends - counts)[of], np.minimum(per, k)[of]
+        h = size.astype(_U) * _U(0xA24BAED4963EE407)
+        with np.errstate(over="ignore"):
+            for j in range(k):
+                h = np.where(j < size, _mix(h + words[np.minimum(at + j, len(words) - 1)] + _U(0x9E3779B97F4A7C15)), h)
+        out[here] = h
     return out, counts
 
 
@@ -180,7 +179,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
     of_a = sets.select(F.col("class_id").alias("a"), F.col("set").alias("_a"))
     of_b = sets.select(F.col("class_id").alias("b"), F.col("set").alias("_b"))
-    return pairs.join(of_a, "a").join(of_b, "b").where(linked("_a", "_b")).select("a", "b")
+    # many pairs may share their a, few their b: the skewed join comes last, where its rows are wide enough to be split
+    return pairs.join(of_b, "b").join(of_a, "a").where(linked("_a", "_b")).select("a", "b")
+
+
+def _rare_prefixes(open_: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """token, class_id, label, n (set size), place: the rarest shingles of every class of open_ (class_id, label).
+
+    With all shingles in one order, the rarest first, two sets of the wanted similarity share one of their first
+    n - ceil(share * n / 100) + 1. Shingles that one class alone holds come first and meet nothing, so they only count.
+    """
+
+    def tokens(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
+                for f in range(0, len(s), 100_000):
+                    part = s[f : f + 100_000]
+                    same = lambda x: pa.array(np.full(len(part), x.as_py(), np.int64))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([same(batch.column(0)[i]), same(batch.column(1)[i]), pa.array(np.full(len(part), len(s), np.int64)), pa.array(part)], names=["class_id", "label", "n", "token"])
+
+    every = open_.join(sets, "class_id").select("class_id", "label", "set").mapInArrow(tokens, "class_id long, label long, n long, token long")
+    often = every.groupBy("token").agg(F.count("*").alias("_df")).where("_df > 1")
+    held = every.join(often, "token").groupBy("class_id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("_df", "token"))).alias("_shared"))
+    alone = F.col("n") - F.size("_shared")
+    length = F.col("n") - F.expr(f"({share} * n + 99) div 100") + 1
+    first = held.withColumn("_take", (length - alone).cast("int")).where("_take > 0").select("class_id", "label", "n", alone.alias("_alone"), F.posexplode(F.slice("_shared", F.lit(1), F.col("_take"))).alias("_at", "_x"))
+    return first.select(F.col("_x.token").alias("token"), "class_id", "label", "n", (F.col("_alone") + F.col("_at")).alias("place"))
+
+
+def _across(prefixes: DataFrame, share: int) -> DataFrame:
+    """a, b: the classes of different labels that share a rare shingle and whose sizes and places allow the similarity."""
+    side = lambda s: prefixes.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("class_id", "label", "n", "place")])
+    met = side("a").join(side("b"), "token").where((F.col("a_class_id") < F.col("b_class_id")) & (F.col("a_label") != F.col("b_label")))
+    sized = met.where((100 * F.col("a_n") >= share * F.col("b_n")) & (100 * F.col("b_n") >= share * F.col("a_n")))
+    # before the first shared shingle nothing is shared
+    most = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    return sized.where((100 + share) * most >= share * (F.col("a_n") + F.col("b_n"))).select(F.col("a_class_id").alias("a"), F.col("b_class_id").alias("b")).distinct()
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -205,17 +240,16 @@ def classes_and_labels(docs: DataFrame, k: int = K, share: int = SHARE, rows: in
     sets = written(shingle_sets(texts, k), "minhash-sets")
     stars = written(_verified(members.where("a <> b").select("a", "b").distinct(), sets, share), "minhash-stars")
     label = written(_labels(stars), "minhash-labels")
-    # buckets whose members are not all in one component yet
+    # classes of the buckets whose members are not all in one component yet
     named = members.join(label.withColumnRenamed("class_id", "b"), "b", "left").select("table_key", "b", F.coalesce("label", "b").alias("label"))
     split = named.groupBy("table_key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("table_key")
-    open_ = written(named.join(split, "table_key"), "minhash-open")
-    one, two = open_.select("table_key", F.col("b").alias("a"), F.col("label").alias("_la")), open_.select("table_key", "b", F.col("label").alias("_lb"))
-    across = one.join(two, "table_key").where((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb"))).select("a", "b").distinct()
+    open_ = named.join(split, "table_key").select(F.col("b").alias("class_id"), "label").distinct()
+    prefixes = written(_rare_prefixes(open_, sets, share), "minhash-prefixes")
+    across = written(_across(prefixes, share), "minhash-across")
     tried = members.select("a", "b").distinct()
     more = _verified(across.join(tried, ["a", "b"], "left_anti"), sets, share)
     links = written(stars.union(more), "minhash-links")
-    dropped(members)
-    dropped(open_)
+    dropped(classes, meets, members, sets, stars, label, prefixes, across)
     return signed, links
 
 

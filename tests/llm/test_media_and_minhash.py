@@ -193,3 +193,44 @@ def test_keys_meet_as_often_as_the_formula_says():
         x, y = (minhash.slot_keys(np.concatenate([common, o]), a, b, minhash.ROWS) for o in own)
         hits.append((x == y).mean())
     assert abs(np.mean(hits) - 0.8**3) < 0.03
+
+
+def test_a_family_below_the_limit_is_not_compared_pair_by_pair(spark, monkeypatch):
+    r = random.Random(21)
+    word = lambda n=5: "".join(r.choice("abcdefghijklm") for _ in range(n))
+    template = " ".join(word() for _ in range(200))
+    rows = [(i, template + " " + " ".join(word(6) for _ in range(70))) for i in range(300)]
+    # among them groups that do link, also across the buckets' leaders
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(0, 60, 3)] + [(2000 + i, rows[i][1] + " " + word()) for i in range(0, 30, 3)]
+    pairs = []
+    verified = minhash._verified
+
+    def counting(p, *more):
+        pairs.append(p.count())
+        return verified(p, *more)
+
+    monkeypatch.setattr(minhash, "_verified", counting)
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(brute_sets(rows, 4))
+    assert sum(pairs) < 30 * len(rows)  # of 54,000 pairs
+
+
+def test_long_texts_are_read_in_steps():
+    import pyarrow as pa
+
+    from tessarine.llm.common import span_hashes
+
+    r = np.random.default_rng(3)
+    data = r.integers(0, 256, 500).astype(np.uint8)
+    cuts = np.unique(r.integers(0, 500, 40))
+    starts, ends = cuts[:-1], np.maximum(cuts[:-1] + 1, cuts[1:] - 1)
+    whole = span_hashes(data, starts, ends, minhash._BYTES, minhash._BASE)
+    for step in (1, 7, 64):
+        assert (span_hashes(data, starts, ends, minhash._BYTES, minhash._BASE, step) == whole).all()
+    import resource
+
+    text = " ".join(f"w{i}" for i in range(2_000_000))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ((_, s),) = minhash._sets(pa.array([text]), 4)
+    assert len(s) == 2_000_000 - 3
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 < 15 * len(text)
