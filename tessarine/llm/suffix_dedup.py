@@ -2,31 +2,34 @@
 
 A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller id.
 
-Sorting every suffix of a corpus would move many times its size, though nearly all suffixes differ early. So positions are
-first thinned without losing a repeat. In each window of `length` bytes the smallest hash of its GRAM-grams is an anchor;
-equal windows have equal anchors at equal places, so a repeat shows as an anchor gram that several documents hold. For every
-anchor the gram's hash and the hash of its context (all windows over it) are sent to the gram's bucket:
-* a context that a smaller id holds as well is repeated as a whole: settled;
-* a gram with one context, or in one document, has nothing to compare: settled;
-* what is left, the ends of repeats, goes to the suffix sort as text, routed by gram, so equal windows meet in one task.
-
-The sort in each task is the difference-cover algorithm for triples, on letters of 7 bytes: the text is read as 7 strings of
-letters, one for each offset; the triples at places 1 and 2 modulo 3 are sorted and named; the recursion sorts triples of
-names, which spell 63 bytes and so end it, as only `length` bytes matter; the places 0 modulo 3 are merged in by their letter
-and the name after it. Adjacent suffixes are compared on `length` bytes, and each run of equal ones knows its smallest id.
-
-A gram with very many contexts is routed window by window instead, by a hash of the window. Copies within a block of rows are
-settled in the block and travel past the gram's bucket, so a hot passage costs its bucket one entry a block.
+Sorting every suffix of a corpus would move many times its size, though most can't repeat. So places are first thinned
+without losing a repeat. In each window of `length` bytes the smallest hash of its GRAM-grams is an anchor; equal windows
+have equal anchors at equal places, so every repeat shows as an anchor whose gram several documents hold. Grams that one
+document alone holds go; the hashes decide no more than that. For every other anchor its context (the bytes of all windows
+over it) is sent to the sort, routed by gram, so that equal windows meet; what the sort finds equal, byte for byte, goes.
+
+The sort, first in every block before contexts travel and then in the tasks where they meet, has two steps:
+* contexts are sorted as a whole, and adjacent ones compared: of equal ones those of the smallest id go on, the others are
+  repeats from end to end;
+* the suffixes of the contexts left are sorted by the difference-cover algorithm for triples, on letters of 7 bytes: the text
+  is read as 7 strings of letters, one for each offset; the triples at places 1 and 2 modulo 3 are sorted and named; the
+  recursion sorts triples of names, which spell 63 bytes and so end it, as only `length` bytes matter; the places 0 modulo 3
+  are merged in by their letter and the name after it. Adjacent suffixes are compared on `length` bytes, and each run of
+  equal ones knows its smallest id.
+
+Skew: a block sends an entry for a gram that several of its documents hold, not one for each of them, so a hot gram costs its
+bucket one entry a block, and a hot passage its task one context a block. Grams with more contexts than HOT are split: each
+of their windows travels on its own, routed by a hash of all its bytes; results are the same.
 
 Nulls: a null text is empty; a null id counts as smaller than any other. Rows that share an id don't remove bytes of each
 other; each keeps its own result (they are told apart by a hash of the text). Texts shorter than `length` lose nothing. What
 is removed is judged on the input and joined bytewise, so it may cut a character; `kept` is bytes. Extra columns aren't read.
+
+Long texts are read in pieces: one needs some ten times its bytes in a worker.
 """
 
 from __future__ import annotations
 
-import ctypes
-import hashlib
 import zlib
 
 import numpy as np
@@ -35,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import dropped, whole_text, written
 
 LENGTH, GRAM = 50, 24
 #: Contexts of one gram beyond which its windows are routed one by one.
@@ -46,7 +49,9 @@ _SLICE = 1_000_000
 BLOCK = 20_000_000
 _U = np.uint64
 _BASE = 0x5851F42D4C957F2D | 1
-_COPY, _SORT, _SPLIT = 0, 1, 2
+_ONE, _MANY, _PAST = 0, 1, 2
+#: Contexts that are sorted as a whole at once.
+RUN = 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -85,8 +90,8 @@ def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(gram hash, context hash, text, place in the text) of the anchors of the texts data[offsets[i]:offsets[i + 1]]."""
-    none = np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """(gram hash, text, place in the text) of the anchors of the texts data[offsets[i]:offsets[i + 1]]."""
+    none = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(data) < length:
         return none
     w = length - gram + 1
@@ -101,69 +106,82 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
         if not len(at):
             return none
         of = text[at]
-        begin = np.maximum(offsets[of], at - (w - 1))
-        end = np.minimum(offsets[of + 1], at + length)
-        power = np.full(len(data) + 1, _BASE, _U)
-        power[0] = 1
-        power = np.cumprod(power, dtype=_U)
-        inverse = np.full(len(data), pow(_BASE, -1, 2**64), _U)
-        inverse[0] = 1
-        inverse = np.cumprod(inverse, dtype=_U)
-        upto = np.zeros(len(data) + 1, _U)
-        np.cumsum(_BYTES[data] * power[:-1], out=upto[1:], dtype=_U)
-        shape = (at - begin).astype(_U) * _U(1024) + (end - begin).astype(_U)
-        context = _mix(_mix((upto[end] - upto[begin]) * inverse[begin]) + shape * _U(0x9E3779B97F4A7C15))
-    # an anchor is the least of many hashes; mixed once more, grams spread evenly over the buckets
-    return _mix(h[at]), context, of, at - offsets[of]
-
-
-def _packed(kind: int, gram: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> bytes:
-    """Anchors of one bucket as compressed columns; doc points into ids and keys."""
-    used, doc = np.unique(doc, return_inverse=True)
-    parts = [np.diff(gram, prepend=gram[:1] * 0), (context >> _U(16)).astype("<u4"), (context >> _U(48)).astype("<u2"), doc.astype("<u4" if len(used) > 65535 else "<u2"), place.astype("<u4" if place.max(initial=0) < 2**32 else "<u8"), ids[used], keys[used]]
-    head = np.array([kind, len(gram), len(used), parts[3].itemsize, parts[4].itemsize], "<i8").tobytes()
-    # the gram keeps 40 bits below the bucket, its differences split into bytes of like weight
-    d = parts[0].astype("<u8").view(np.uint8).reshape(-1, 8).T[:5].tobytes()
-    p = parts[4].view(np.uint8).reshape(-1, parts[4].itemsize).T.tobytes()
-    return zlib.compress(b"".join([head, d, *[x.tobytes() for x in parts[1:4]], p, *[x.tobytes() for x in parts[5:]]]), 1)
+        # an anchor is the least of many hashes; mixed once more, grams spread evenly over the buckets
+        return _mix(h[at]), of, at - offsets[of]
 
 
-def _unpacked(blob: bytes) -> tuple:
-    raw = zlib.decompress(blob)
-    kind, n, docs, doc_size, place_size = np.frombuffer(raw, "<i8", 5)
-    at = 40
-
-    def take(dtype: str, count: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(raw, dtype, count, at)
-        at += out.nbytes
-        return out
+def all_anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, step: int = _SLICE):
+    """The anchors of the texts, some step bytes at a time; a piece of a longer text sees the bytes around it that matter."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + step, side="right")) - 1))
+        a, b = int(offsets[i]), int(offsets[j])
+        if b - a <= 2 * step:
+            g, of, at = anchors(data[a:b], offsets[i : j + 1] - a, length, gram)
+            yield g, of + i, at
+        else:
+            for f in range(a, b, step):
+                low, high = max(a, f - 2 * length), min(b, f + step + 2 * length)
+                g, of, at = anchors(data[low:high], np.array([0, high - low]), length, gram)
+                own = (at + low >= f) & (at + low < f + step)
+                yield g[own], of[own] + i, at[own] + low - a
+        i = j
+
+
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """The low bytes of whole numbers, those of like weight together."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:size]).tobytes()
+
+
+def _from_planes(raw: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = raw.reshape(size, -1).T
+    return out.reshape(-1).view("<u8")
+
+
+def _packed(kind: int, bucket: int, gram: np.ndarray, doc: np.ndarray, number: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> bytes:
+    """Anchors of one bucket (number: their places), or grams (number: how many anchors), as compressed columns.
 
-    d = np.zeros((n, 8), np.uint8)
-    d[:, :5] = take("u1", 5 * n).reshape(5, n).T
-    gram = np.cumsum(d.reshape(-1).view("<u8"))
-    low, high = take("<u4", n), take("<u2", n)
-    doc = take(f"<u{doc_size}", n)
-    place = np.ascontiguousarray(take("u1", n * place_size).reshape(place_size, n).T).reshape(-1).view(f"<u{place_size}").astype(np.int64)
-    ids, keys = take("<i8", docs), take("<i4", docs)
-    return kind, gram, low.astype(_U) | high.astype(_U) << _U(32), ids[doc], keys[doc], place
+    gram has 40 bits and ascends; doc points into ids and keys.
+    """
+    used, doc = np.unique(doc, return_inverse=True)
+    size = max(1, (int(number.max(initial=0)).bit_length() + 7) // 8)
+    wide = 2 if len(used) < 65536 else 4
+    head = np.array([kind, bucket, len(gram), len(used), wide, size], "<i8").tobytes()
+    parts = [_planes(np.diff(gram, prepend=gram[:1] * 0), 5), _planes(doc, wide), _planes(number, size), ids[used].astype("<i8").tobytes(), keys[used].astype("<i4").tobytes()]
+    return zlib.compress(b"".join([head, *parts]), 1)
 
 
-def _trim() -> None:
-    """Gives freed memory back: a worker lives on after a task, and executors have little to spare."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+def _unpacked(blob: bytes) -> tuple:
+    """(kind, bucket, gram, id, row key, number)."""
+    raw = np.frombuffer(zlib.decompress(blob), np.uint8)
+    kind, bucket, n, docs, wide, size = raw[:48].view("<i8").tolist()
+    cuts = np.cumsum([48, 5 * n, wide * n, size * n, 8 * docs, 4 * docs])
+    gram, doc, number, ids, keys = (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+    doc = _from_planes(doc, wide).astype(np.int64)
+    ids, keys = np.frombuffer(ids.tobytes(), "<i8"), np.frombuffer(keys.tobytes(), "<i4")
+    return kind, bucket, np.cumsum(_from_planes(gram, 5), dtype=_U), ids[doc], keys[doc], _from_planes(number, size).astype(np.int64)
 
 
 def _row_key(text):
     return F.hash(text)
 
 
+def _text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each begins and ends."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
 def _anchor_blobs(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """bucket, blob: the anchors of every block of rows by bucket; copies within the block apart."""
+    """bucket, blob: the anchors of every block of rows by bucket.
+
+    Of grams that several documents of the block hold, the bucket gets one entry (_MANY); their anchors need no decision and
+    travel elsewhere (_PAST).
+    """
 
     def blocks(batches):
         """The batches, cut so that a block holds some BLOCK bytes of text."""
@@ -178,62 +196,62 @@ def _anchor_blobs(docs: DataFrame, buckets: int, length: int, gram: int) -> Data
     def run(batches):
         for block, batch in enumerate(blocks(batches)):
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = batch.column(2).cast(pa.large_string())
-            upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-            found, i, n = [], 0, len(texts)
-            while i < n:
-                j = min(n, max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _SLICE, side="right"))))
-                part = texts.slice(i, j - i)
-                offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + j - i + 1]
-                raw = part.buffers()[2]
-                data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
-                g, c, of, at = anchors(data, offsets - offsets[0], length, gram)
-                found.append((g, c, of + i, at))
-                i = j
+            found = list(all_anchors(*_text_bytes(batch.column(2)), length, gram))
             if not found:
                 continue
-            g, c, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            found.clear()
+            g, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            del found
             if not len(g):
                 continue
             bucket = ((g >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
             g &= _U(2**40 - 1)
-            c &= _U(2**48 - 1)
-            c = c << _U(16)
-            order = np.lexsort((ids[doc], c, g, bucket))
-            g, c, doc, at, bucket = g[order], c[order], doc[order], at[order], bucket[order]
-            new = np.ones(len(g), bool)
-            new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (bucket[1:] != bucket[:-1])
-            least = ids[doc][np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))]
-            first = ids[doc] == least  # of the smallest id of this context in the block
+            order = np.lexsort((g, bucket))
+            g, doc, at, bucket = g[order], doc[order], at[order], bucket[order]
+            starts, group = _groups(bucket, g)
+            own = ids[doc]
+            many = np.maximum.reduceat(own, starts) != np.minimum.reduceat(own, starts)
+            size = np.diff(np.append(starts, len(g)))
+            past = many[group]
+            edges, firsts = np.searchsorted(bucket, np.arange(buckets + 1)), np.searchsorted(bucket[starts], np.arange(buckets + 1))
             out_b, out = [], []
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in range(buckets):
-                s = slice(edges[b], edges[b + 1])
-                k = first[s]
-                if k.any():
+                s, f = slice(edges[b], edges[b + 1]), slice(firsts[b], firsts[b + 1])
+                k, m = past[s], many[f]
+                if not k.all():
                     out_b.append(b)
-                    out.append(_packed(_SORT, g[s][k], c[s][k], doc[s][k], at[s][k], ids, keys))
-            if not first.all():
-                k = ~first
-                out_b.append((block * 7919 + int(g[0])) % buckets)
-                out.append(_packed(_COPY, np.zeros(k.sum(), _U), np.zeros(k.sum(), _U), doc[k], at[k], ids, keys))
+                    out.append(_packed(_ONE, b, g[s][~k], doc[s][~k], at[s][~k], ids, keys))
+                if m.any():
+                    head = starts[f][m]
+                    out_b.append(b)
+                    out.append(_packed(_MANY, b, g[head], doc[head], size[f][m], ids, keys))
+                    out_b.append((b + block * 7919 + int(head[0])) % buckets)
+                    out.append(_packed(_PAST, b, g[s][k], doc[s][k], at[s][k], ids, keys))
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "blob"])
-            del found, g, c, doc, at, bucket, order, new, least, first, out
-            _trim()
 
     return docs.mapInArrow(run, "bucket int, blob binary")
 
 
-_FOUND = "doc_id long, row_key int, place long, kind int, route long"
+def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal rows start in sorted columns, and each row's run."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+_FOUND = "doc_id long, row_key int, place long, route long"
 
 
-def _settled(blobs: DataFrame, hot: int) -> DataFrame:
-    """Per anchor that isn't unique: whether its whole context is a copy, or the suffix sort must tell (kind), and by which route."""
+def _repeated_grams(blobs: DataFrame, hot: int) -> DataFrame:
+    """The anchors whose gram several documents hold, with their route; and the routes of hot grams, with place -1."""
 
-    def rows(doc, key, place, kind, route) -> pa.RecordBatch:
-        n = len(doc)
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(place), pa.array(np.broadcast_to(kind, n).astype(np.int32)), pa.array(np.broadcast_to(route, n).astype(np.int64))], names=["doc_id", "row_key", "place", "kind", "route"])
+    def rows(doc, key, place, route) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(place), pa.array(route)], names=["doc_id", "row_key", "place", "route"])
+
+    def route(g: np.ndarray, bucket: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return _mix(g + _U(bucket) * _U(0x9E3779B97F4A7C15)).view(np.int64)
 
     def run(batches):
         by: dict[int, list[bytes]] = {}  # compressed until their bucket's turn
@@ -243,76 +261,137 @@ def _settled(blobs: DataFrame, hot: int) -> DataFrame:
         for b in sorted(by):
             parts = []
             for blob in by.pop(b):
-                kind, *columns = _unpacked(blob)
-                if kind == _COPY:
-                    yield rows(columns[2], columns[3], columns[4], _COPY, 0)
+                kind, bucket, g, doc, key, number = _unpacked(blob)
+                if kind == _PAST:
+                    yield rows(doc, key, number, route(g, bucket))
                 else:
-                    parts.append(columns)
+                    parts.append((g, doc, key, number, np.full(len(g), kind == _MANY)))
             if not parts:
                 continue
-            g, c, doc, key, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            g, doc, key, number, many = (np.concatenate(x) for x in zip(*parts, strict=True))
             del parts
             order = np.argsort(g, kind="stable")
-            g = g[order]
-            new = np.ones(len(g), bool)
-            new[1:] = g[1:] != g[:-1]
-            several = ~(new & np.append(new[1:], True))  # most grams are alone
-            order, g = order[several], g[several]
-            if not len(g):
-                continue
-            c, doc, key, place = c[order], doc[order], key[order], place[order]
-            order = np.lexsort((doc, c, g))
-            g, c, doc, key, place = g[order], c[order], doc[order], key[order], place[order]
-            new_g = np.ones(len(g), bool)
-            new_g[1:] = g[1:] != g[:-1]
-            new_c = new_g.copy()
-            new_c[1:] |= c[1:] != c[:-1]
-            group = np.cumsum(new_g) - 1
-            contexts = np.bincount(group, weights=new_c).astype(np.int64)[group]
-            starts = np.flatnonzero(new_g)
-            several_docs = (np.maximum.reduceat(doc, starts) != np.minimum.reduceat(doc, starts))[group]
-            least = doc[np.maximum.accumulate(np.where(new_c, np.arange(len(g)), 0))]
-            copy = doc > least
-            if copy.any():
-                yield rows(doc[copy], key[copy], place[copy], _COPY, 0)
-            todo = ~copy & several_docs & (contexts > 1)
-            _trim()
-            if todo.any():
-                route = _mix(g[todo] + _U(b) * _U(0x9E3779B97F4A7C15)).view(np.int64)
-                yield rows(doc[todo], key[todo], place[todo], np.where(contexts[todo] > hot, _SPLIT, _SORT), route)
+            g, doc, key, number, many = g[order], doc[order], key[order], number[order], many[order]
+            starts, group = _groups(g)
+            several = (np.maximum.reduceat(doc, starts) != np.minimum.reduceat(doc, starts)) | np.logical_or.reduceat(many, starts)
+            count = np.add.reduceat(np.where(many, number, 1), starts)
+            mine = several[group] & ~many
+            if mine.any():
+                yield rows(doc[mine], key[mine], number[mine], route(g[mine], b))
+            if (many_more := several & (count > hot)).any():
+                at = starts[many_more]
+                yield rows(doc[at], key[at], np.full(len(at), -1), route(g[at], b))
 
     return blobs.mapInArrow(run, _FOUND)
 
 
+_CONTEXT = "route long, doc_id long, row_key int, begin long, size int, context binary"
+
+
+def _rows(route, doc, key, begin, size, context: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(route), pa.array(doc), pa.array(key), pa.array(begin), pa.array(size.astype(np.int32)), context], names=["route", "doc_id", "row_key", "begin", "size", "context"])
+
+
+def _copies(route: np.ndarray, doc: np.ndarray, size: np.ndarray, padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts whole contexts (rows of padded bytes) and compares adjacent ones: which equal one of a smaller id of their route,
+    and which contexts of a route with several different ones are left. Both as masks."""
+    n = len(route)
+    copy, left = np.zeros(n, bool), np.zeros(n, bool)
+    order = np.argsort(route, kind="stable")
+    starts, group = _groups(route[order])
+    some = order[(np.diff(np.append(starts, n)) > 1)[group]]  # routes with one context have nothing to compare
+    if not len(some):
+        return copy, left
+    some = some[np.lexsort((doc[some], size[some], _text_ranks(padded[some]), route[some]))]
+    same = np.zeros(len(some), bool)
+    for f in range(1, len(some), 100_000):
+        b = some[f : f + 100_000]
+        a = some[f - 1 : f - 1 + len(b)]
+        same[f : f + len(b)] = (route[a] == route[b]) & (size[a] == size[b]) & (padded[a] == padded[b]).all(1)
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(some))))
+    copy[some] = doc[some] > doc[some[first]]
+    starts, group = _groups(route[some])
+    different = np.add.reduceat((~same).astype(np.int64), starts) > 1
+    left[some] = different[group]
+    return copy, left & ~copy
+
+
+def _text_ranks(rows: np.ndarray) -> np.ndarray:
+    """The rank of every row of bytes among the distinct ones, by words of 8 bytes."""
+    wide = -(-rows.shape[1] // 8)
+    words = np.zeros((len(rows), wide * 8), np.uint8)
+    words[:, : rows.shape[1]] = rows
+    words = words.view(">u8").astype(_U)
+    order = np.lexsort(words.T[::-1])
+    new = np.zeros(len(rows), np.int64)
+    new[1:] = (words[order[1:]] != words[order[:-1]]).any(1)
+    out = np.empty(len(rows), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _padded(data: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """data[begin : begin + size] as rows of width bytes."""
+    at = np.arange(width)
+    inside = at < size[:, None]
+    return np.where(inside, data[np.where(inside, begin[:, None] + at, 0)], 0).astype(np.uint8)
+
+
+def _binary(rows: np.ndarray, size: np.ndarray) -> pa.Array:
+    inside = np.arange(rows.shape[1]) < size[:, None]
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows[inside]))])
+
+
 def _contexts(joined: DataFrame, length: int, gram: int) -> DataFrame:
-    """route, doc_id, row_key, place, begin and the context's bytes, of the anchors that go to the suffix sort."""
+    """The contexts of the anchors, those of hot grams cut to windows; copies within a run of contexts come without bytes."""
     w = length - gram + 1
+    width = length + w - 1
+
+    def pieces(data, offsets, doc, key, todo):
+        """(route, doc, key, place in data, begin, size) of the contexts of some anchors."""
+        of = np.repeat(np.arange(len(doc)), np.diff(todo.offsets.to_numpy()))
+        first = todo.offsets[0].as_py()
+        flat = todo.values.slice(first, len(of))
+        place, route, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("place", "route", "hot"))
+        for f in range(0, len(of), RUN):
+            o, p, r, h = (x[f : f + RUN] for x in (of, place, route, hot))
+            begin = np.maximum(0, p - w + 1)
+            size = np.minimum(offsets[o + 1] - offsets[o], p + length) - begin
+            cold = ~h
+            yield r[cold], doc[o[cold]], key[o[cold]], offsets[o[cold]] + begin[cold], begin[cold], size[cold]
+            if h.any():
+                n = size[h] - length + 1
+                at = np.repeat(np.arange(int(h.sum())), n)
+                step = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                o2, start = o[h][at], begin[h][at] + step
+                for k in range(0, len(at), RUN):
+                    q = slice(k, k + RUN)
+                    where = offsets[o2[q]] + start[q]
+                    words = _padded(data, where, np.full(len(where), length), -(-length // 8) * 8).view("<u8")
+                    whole = np.zeros(len(where), _U)
+                    with np.errstate(over="ignore"):
+                        for c in range(words.shape[1]):
+                            whole = _mix(whole + words[:, c] + _U(0x9E3779B97F4A7C15))
+                    yield whole.view(np.int64), doc[o2[q]], key[o2[q]], where, start[q], np.full(len(where), length, np.int64)
 
     def run(batches):
         for batch in batches:
-            out = []
-            for doc, key, text, todo in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "row_key", "text", "todo")), strict=True):
-                raw = text.encode()
-                for x in todo:
-                    begin, end = max(0, x["place"] - w + 1), min(len(raw), x["place"] + length)
-                    if x["kind"] == _SPLIT:
-                        for p in range(begin, end - length + 1):
-                            piece = raw[p : p + length]
-                            out.append((int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True), doc, key, p, piece))
-                    else:
-                        out.append((x["route"], doc, key, begin, raw[begin:end]))
-                if len(out) > 50_000:
-                    yield made(out)
-                    out = []
-            if out:
-                yield made(out)
-
-    def made(out: list) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True))
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["route", "doc_id", "row_key", "begin", "context"])
-
-    return joined.mapInArrow(run, "route long, doc_id long, row_key int, begin long, context binary")
+            data, offsets = _text_bytes(batch.column(batch.schema.names.index("text")))
+            doc, key = (batch.column(batch.schema.names.index(k)).to_numpy() for k in ("doc_id", "row_key"))
+            todo = batch.column(batch.schema.names.index("todo"))
+            for route, d, k, where, begin, size in pieces(data, offsets, doc, key, todo):
+                if not len(route):
+                    continue
+                rows = _padded(data, where, size, width)
+                copy, _ = _copies(route, d, size, rows)
+                if copy.any():
+                    # nothing to compare any more; spread over the tasks
+                    yield _rows(_mix(begin[copy].astype(_U)).view(np.int64), d[copy], k[copy], begin[copy], size[copy], pa.nulls(int(copy.sum()), pa.binary()))
+                go = ~copy
+                yield _rows(route[go], d[go], k[go], begin[go], size[go], _binary(rows[go], size[go]))
+
+    return joined.mapInArrow(run, _CONTEXT)
 
 
 def _packed_keys(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -441,34 +520,84 @@ def repeated_windows(texts: list[bytes], ids: np.ndarray, length: int = LENGTH)
     return [x - b for x, b in zip(np.split(found, cut), begin, strict=True)]
 
 
-def _sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """doc_id, row_key, starts: the windows that the suffix sort finds repeated."""
+SPAN = "doc_id long, row_key int, begin long, size int"
 
-    def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        whole = pa.Table.from_batches(parts)
-        # routes stay together; a task sorts them in runs of some million bytes
-        route = whole.column("route").to_numpy()
-        order = np.argsort(route, kind="stable")
-        sizes = pc.binary_length(whole.column("context")).to_numpy().astype(np.int64)[order]
-        route, upto = route[order], np.cumsum(sizes)
-        i, n = 0, len(order)
-        while i < n:
-            j = min(n, max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + 1_000_000, side="right"))))
-            while j < n and route[j] == route[j - 1]:
+
+def _sorted_repeats(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The spans of bytes that the sort finds repeated; contexts are sorted by route within their task."""
+    width = 2 * length - gram
+
+    def spans(doc, key, begin, size) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(begin), pa.array(np.asarray(size).astype(np.int32))], names=["doc_id", "row_key", "begin", "size"])
+
+    def settled(whole: pa.Table):
+        doc, key, begin, size, route = (whole.column(k).to_numpy() for k in ("doc_id", "row_key", "begin", "size", "route"))
+        size = size.astype(np.int64)
+        context = whole.column("context").combine_chunks()
+        data = np.frombuffer(context.buffers()[2], np.uint8) if context.buffers()[2] is not None else np.zeros(0, np.uint8)
+        offsets = np.frombuffer(context.buffers()[1], np.int32)[context.offset : context.offset + len(context) + 1].astype(np.int64)
+        copy, left = _copies(route, doc, size, _padded(data, offsets[:-1], size, width))
+        if copy.any():
+            yield spans(doc[copy], key[copy], begin[copy], size[copy])
+        at = np.flatnonzero(left)
+        upto = np.cumsum(size[at])
+        i = 0
+        while i < len(at):  # the suffixes of some million bytes at once; a route stays together
+            j = min(len(at), max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _SLICE, side="right"))))
+            while j < len(at) and route[at[j]] == route[at[j - 1]]:
                 j += 1
-            part = whole.take(pa.array(order[i:j]))
-            found = repeated_windows(part.column("context").to_pylist(), part.column("doc_id").to_numpy(), length)
-            some = np.flatnonzero([len(x) > 0 for x in found])
-            if len(some):
-                begin = part.column("begin").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(part.column("doc_id").to_numpy()[some]), pa.array(part.column("row_key").to_numpy()[some]), pa.array([found[k] + begin[k] for k in some], pa.list_(pa.int64()))], names=["doc_id", "row_key", "starts"])
+            part = at[i:j]
+            found = repeated_windows([data[offsets[x] : offsets[x + 1]].tobytes() for x in part], doc[part], length)
+            runs = [(part[k], *run) for k, hits in enumerate(found) if len(hits) for run in _runs(hits, length)]
+            if runs:
+                x, a, n = (np.array(c) for c in zip(*runs, strict=True))
+                yield spans(doc[x], key[x], begin[x] + a, n)
             i = j
-        _trim()
 
-    return contexts.mapInArrow(run, "doc_id long, row_key int, starts array<long>")
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            gone = pc.is_null(batch.column(5))
+            done = batch.filter(gone)
+            if done.num_rows:
+                yield done.select(["doc_id", "row_key", "begin", "size"])
+            batch = batch.filter(pc.invert(gone))
+            while batch.num_rows:
+                # whole routes, as soon as some million bytes are at hand
+                route = batch.column(0).to_numpy()
+                if held and size >= 4 * _SLICE:
+                    last = held[-1].column(0)[-1].as_py()
+                    cut = int((route != last).argmax()) if (route != last).any() else batch.num_rows
+                    held.append(batch.slice(0, cut))
+                    batch = batch.slice(cut)
+                    if batch.num_rows:
+                        yield from settled(pa.Table.from_batches(held))
+                        held, size = [], 0
+                    continue
+                held.append(batch.slice(0, 50_000))
+                size += held[-1].column(5).nbytes
+                batch = batch.slice(50_000)
+        if held:
+            yield from settled(pa.Table.from_batches(held))
+
+    return contexts.mapInArrow(run, SPAN)
+
+
+def _runs(hits: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """(first byte, bytes) of the windows that start at hits, joined where one starts right after another."""
+    cut = np.flatnonzero(np.diff(hits) > 1) + 1
+    return [(int(x[0]), int(x[-1] - x[0] + length)) for x in np.split(hits, cut)]
+
+
+def kept_bytes(raw: bytes, begin: np.ndarray, size: np.ndarray) -> tuple[int, int, bytes]:
+    """Bytes removed, maximal runs removed, and what is left when the spans go."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], (begin + size)[order]
+    reach = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.append(True, begin[1:] > reach[:-1]))
+    starts, stops = begin[first], reach[np.append(first[1:] - 1, len(begin) - 1)]
+    kept = b"".join(raw[a:b] for a, b in zip([0, *stops.tolist()], [*starts.tolist(), len(raw)], strict=True))
+    return int((stops - starts).sum()), len(first), kept
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -478,45 +607,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans and the kept bytes."""
     if not 8 <= gram <= length <= DEPTH:
         raise ValueError(f"grams need 8 bytes, windows those of a gram at least and {DEPTH} at most")
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    w = length - gram + 1
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = whole_text()
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), _row_key(text).alias("row_key"), text.alias("text"))
-    found = written(_settled(_anchor_blobs(own, n, length, gram).repartitionById(n, "bucket"), hot), "repeat-anchors")
-    spark._jvm.System.gc()  # lets go of the shuffle of the anchors
-    todo = found.where(F.col("kind") != _COPY).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("place", "kind", "route")).alias("todo"))
-    contexts = _contexts(own.join(todo, ["doc_id", "row_key"]), length, gram)
-    sorted_ = written(_sorted_repeats(contexts.repartition(n, "route"), length), "repeat-windows")
-    spark._jvm.System.gc()
-    places = found.where(F.col("kind") == _COPY).groupBy("doc_id", "row_key").agg(F.collect_list("place").alias("places"))
-    starts = sorted_.groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    both = places.join(starts, ["doc_id", "row_key"], "full_outer")
-    joined = own.join(both, ["doc_id", "row_key"], "left").select("doc_id", "text", "places", "starts")
+    found = written(_repeated_grams(_anchor_blobs(own, n, length, gram).repartitionById(n, "bucket"), hot), "repeat-anchors")
+    hot_routes = written(found.where("place < 0").select("route"), "repeat-hot")
+    todo = found.where("place >= 0").join(hot_routes.withColumn("hot", F.lit(True)), "route", "left")
+    todo = todo.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("place", "route", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("todo"))
+    contexts = _contexts(own.join(todo, ["doc_id", "row_key"]), length, gram).repartition(n, "route").sortWithinPartitions("route")
+    spans = written(_sorted_repeats(contexts, length, gram), "repeat-spans")
+    dropped(found, hot_routes)
+    gone = spans.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("begin", "size")).alias("spans"))
+    joined = own.join(gone, ["doc_id", "row_key"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for batch in batches:
             for f in range(0, batch.num_rows, 512):
                 part = batch.slice(f, 512)
                 rows = [[] for _ in range(5)]
-                for doc, t, copies, windows in zip(*(part.column(k).to_pylist() for k in ("doc_id", "text", "places", "starts")), strict=True):
-                    raw = t.encode()
-                    removed = spans = 0
-                    kept = raw
-                    if copies or windows:
-                        step = np.zeros(len(raw) + 1, np.int64)
-                        p = np.array(copies or [], np.int64)
-                        begin, end = np.maximum(0, p - w + 1), np.minimum(len(raw), p + length)
-                        s = np.array(windows or [], np.int64)
-                        np.add.at(step, begin, 1)
-                        np.add.at(step, end, -1)
-                        np.add.at(step, s, 1)
-                        np.add.at(step, s + length, -1)
-                        gone = np.cumsum(step)[:-1] > 0
-                        removed = int(gone.sum())
-                        spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
-                        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    for c, x in zip(rows, (None if doc == _NULL_ID else doc, len(raw), removed, spans, kept), strict=True):
+                for doc, t, gaps in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
+                    raw = t.as_py().encode()
+                    removed, runs, kept = 0, 0, raw
+                    if gaps.is_valid:
+                        begin, size = (gaps.values.field(k).to_numpy().astype(np.int64) for k in ("begin", "size"))
+                        removed, runs, kept = kept_bytes(raw, begin, size)
+                    for c, x in zip(rows, (None if doc == _NULL_ID else doc, len(raw), removed, runs, kept), strict=True):
                         c.append(x)
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])

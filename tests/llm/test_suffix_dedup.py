@@ -80,3 +80,45 @@ def test_removal(spark, none, hot):
     assert sum(x[2] > 0 for x in got) > 20
     if hot > 1:
         assert S.remove_repeats(none).count() == 0
+
+
+def test_anchors_of_pieces_are_those_of_the_whole():
+    r = np.random.default_rng(1)
+    data, offsets = r.integers(97, 103, 5000).astype(np.uint8), np.array([0, 0, 40, 100, 3000, 3000, 5000])
+    want = S.anchors(data, offsets)
+    order = np.lexsort((want[2], want[1]))
+    for step in (10, 64, 300, 1000, 10_000):
+        got = [np.concatenate(x) for x in zip(*S.all_anchors(data, offsets, step=step), strict=True)]
+        other = np.lexsort((got[2], got[1]))
+        assert all((a[order] == b[other]).all() for a, b in zip(want, got, strict=True))
+
+
+def test_packed_anchors_come_back():
+    r = np.random.default_rng(2)
+    g, doc = np.sort(r.integers(0, 2**40, 1000).astype(np.uint64)), r.integers(0, 20, 1000)
+    ids, keys = r.integers(-(2**63), 2**63 - 1, 20), r.integers(-(2**31), 2**31 - 1, 20).astype(np.int32)
+    for top in (1, 200, 70_000, 2**33):
+        number = r.integers(0, top, 1000)
+        kind, bucket, *got = S._unpacked(S._packed(1, 7, g, doc, number, ids, keys))
+        assert (kind, bucket) == (1, 7) and all((a == b).all() for a, b in zip(got, (g, ids[doc], keys[doc], number), strict=True))
+
+
+def test_kept_bytes_is_brute_force():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        n, m = r.integers(1, 200), r.integers(1, 6)
+        raw, begin = bytes(r.integers(0, 256, n).astype(np.uint8)), r.integers(0, n, m)
+        size = np.minimum(r.integers(1, 60, m), n - begin)
+        gone = np.zeros(n, bool)
+        for a, k in zip(begin, size, strict=True):
+            gone[a : a + k] = True
+        assert S.kept_bytes(raw, begin, size) == (gone.sum(), (gone & ~np.concatenate([[False], gone[:-1]])).sum(), np.frombuffer(raw, np.uint8)[~gone].tobytes())
+
+
+def test_copies_within_a_block_travel_once(spark):
+    """A passage in many documents of a block sends one context for each of its anchors, and their spans without bytes."""
+    passage = "".join(random.Random(5).choice("abcdefgh ") for _ in range(400))
+    rows = [(i, passage) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in S.remove_repeats(df).collect()}
+    assert got == {0: (0, 0)} | {i: (400, 1) for i in range(1, 200)}
