@@ -5,10 +5,11 @@ information says that no main data are used, so a player plays silence, and 576
 front are an ID3v2.3 tag and a frame at 32 kbit/s with a Xing table (frames, bytes, 100 seek points); an ID3v1 tag ends it.
 
 The reader takes any stream of MPEG-1, 2 or 2.5, layers I to III: it steps over tags, finds the frame headers again after
-foreign bytes, reads the variable-bitrate table (Xing, Info or VBRI), verifies the checksums of layer III frames (not those of
-layers I and II), and gives the exact duration in samples and every frame's offset. A header counts if another one or the end
-follows its frame. Before foreign bytes it counts if the frame's checksum is right or, where none is verified, if the frame
-directly follows one of its kind; not if another frame begins within it, as then it's a torn one.
+foreign bytes, reads the variable-bitrate table (Xing, Info or VBRI; what of it doesn't lie within its frame is left out),
+verifies the frames' checksums, and gives the exact duration in samples and every frame's offset. A header counts if another
+one or the end follows its frame. Before foreign bytes it counts if the frame's checksum is right or, where there is none, if
+the frame directly follows one of its kind; not if another frame begins within it, as then it's a torn one. Free format,
+whose headers don't tell a size, isn't read. No bytes whatever make the reader fail.
 
 Nulls: a null text is an empty payload, padded to one unit; equal texts give equal bytes. Streams without a frame have
 duration 0. Null media give null fields. Other columns aren't read.
@@ -60,6 +61,47 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return c
 
 
+#: Layer II: bits of the allocation of each subband, by table (see _allocation_bits).
+_ALLOCATION = {"a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "low": [4] * 4 + [3] * 7 + [2] * 19}
+
+
+def _allocation_bits(head: dict) -> list[int]:
+    if head["layer"] == 1:
+        return [4] * 32
+    if head["version"] != 1:
+        return _ALLOCATION["low"]
+    each, hertz = head["bits"] // 1000 // (1 if head["mono"] else 2), head["hertz"]
+    if each <= 48:
+        return _ALLOCATION["d" if hertz == 32000 else "c"]
+    return _ALLOCATION["a" if hertz == 48000 or each <= 80 else "b"]
+
+
+def _bitwise_right(frame: bytes, head: dict) -> bool:
+    """Whether the checksum of a layer I or II frame is right: it covers the header's second half, the bit allocation and, in
+    layer II, which scale factors are shared."""
+    bits = int.from_bytes(frame[6:], "big")
+    total = 8 * (len(frame) - 6)
+    widths, at = _allocation_bits(head), 0
+    channels = 1 if head["mono"] else 2
+    joint = 4 * ((frame[3] >> 4 & 3) + 1) if frame[3] >> 6 == 1 else len(widths)
+    used = 0
+    for k, w in enumerate(widths):
+        for _ in range(channels if k < joint else 1):
+            if at + w > total:
+                return False
+            if bits >> (total - at - w) & ((1 << w) - 1):
+                used += 1 if k < joint else channels
+            at += w
+    if head["layer"] == 2:
+        at += 2 * used
+    if at > total:
+        return False
+    c, covered = 0xFFFF, int.from_bytes(frame[2:4], "big") << at | (bits >> (total - at) if at else 0)
+    for k in range(15 + at, -1, -1):
+        c = (c << 1 ^ 0x8005 if (c >> 15 ^ covered >> k) & 1 else c << 1) & 0xFFFF
+    return c == int.from_bytes(frame[4:6], "big")
+
+
 def _checked(header: bytes) -> bytes:
     """header, its checksum over an empty side information, and that."""
     rows = np.frombuffer(header[2:] + bytes(_SIDE), np.uint8)[None]
@@ -146,13 +188,17 @@ def read_stream(data: bytes) -> dict:
         return tuple(head[k] for k in ("version", "layer", "hertz", "mono", "checked"))
 
     def sums(rows: np.ndarray, head: dict) -> np.ndarray:
-        """Whether the checksums of layer III frames are right."""
+        """Whether the frames' checksums are right."""
+        if rows.shape[1] < 6 + head["side"]:
+            return np.zeros(len(rows), bool)
+        if head["layer"] != 3:
+            return np.array([_bitwise_right(r.tobytes(), head) for r in rows], bool)
         given = rows[:, 4].astype(np.uint16) << np.uint16(8) | rows[:, 5]
         return crc16(np.concatenate([rows[:, 2:4], rows[:, 6 : 6 + head["side"]]], axis=1)) == given
 
     def intact(p: int, head: dict, ahead: tuple | None) -> bool:
         """Whether the frame at p counts before foreign bytes; ahead is the kind of the frame that ends at p."""
-        stop, verified = p + head["size"], head["checked"] and head["layer"] == 3
+        stop, verified = p + head["size"], head["checked"]
         if not (sums(raw[None, p:stop], head)[0] if verified else kind(head) == ahead):
             return False
         q = data.find(b"\xff", p + 1, stop)
@@ -181,20 +227,18 @@ def read_stream(data: bytes) -> dict:
         if n > 1 and not follows(at + n * size) and not intact(at + (n - 1) * size, head, kind(head)):
             n -= 1
         rows = rows[:n]
-        if head["checked"] and head["layer"] == 3:
+        if head["checked"]:
             out["checks"] += n
             out["bad_checks"] += int((~sums(rows, head)).sum())
         first = 0
         if not offsets and out["table_frame"] is None:
             for p in (at + 4 + head["side"] + 2 * head["checked"], at + 4 + head["side"]):
-                if data[p : p + 4] in (b"Xing", b"Info"):
+                if data[p : p + 4] in (b"Xing", b"Info") and p + 8 <= at + size:
                     flags, q, table = struct.unpack(">I", data[p + 4 : p + 8])[0], p + 8, {"kind": data[p : p + 4].decode()}
-                    for bit, name in ((1, "frames"), (2, "bytes")):
-                        if flags & bit:
-                            table[name] = struct.unpack(">I", data[q : q + 4])[0]
-                            q += 4
-                    if flags & 4:
-                        table["toc"] = data[q : q + 100]
+                    for bit, name, wide in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100)):
+                        if flags & bit and q + wide <= at + size:
+                            table[name] = data[q : q + wide] if name == "toc" else struct.unpack(">I", data[q : q + 4])[0]
+                            q += wide
                     out["table"], out["table_frame"], first = table, (at, size), 1
                     break
             p = at + 36  # wherever the side information ends

@@ -77,6 +77,51 @@ def test_reader_reads_vbri():
     assert got["table_frame"] == (0, 417) and got["offsets"].tolist() == [417, 834, 1251, 1668] and got["samples"] == 4 * 1152
 
 
+def test_tables_stay_within_their_frame():
+    short = bytes.fromhex("fff314c0")  # MPEG-2, 8 kbit/s, 24 kHz, mono: 24 bytes
+    frame = short + bytes(9) + b"Xing" + struct.pack(">I", 7)[:7]
+    got = mpeg_audio.read_stream(frame[:24] + short + bytes(20) + short + bytes(20))
+    assert got["table"] is None or "toc" not in got["table"]
+    tight = short + bytes(9) + b"Xing" + struct.pack(">I", 1)
+    got = mpeg_audio.read_stream((tight + bytes(24))[:24] + (short + bytes(20)) * 2)
+    assert got["samples"] in (2 * 576, 3 * 576)
+
+
+def test_no_bytes_make_the_reader_fail():
+    r = random.Random(11)
+    stream = mpeg_audio.write_stream(bytes(range(256)) * 9, 2304)
+    heads = [bytes([0xFF, r.randrange(0xE0, 256), r.randrange(256), r.randrange(256)]) for _ in range(200)]
+    for k in range(400):
+        if k % 2:
+            hurt = bytearray(stream)
+            for _ in range(r.randint(1, 30)):
+                hurt[r.randrange(len(hurt))] = r.choice([0, 255, 0xF2, r.randrange(256)])
+            data = bytes(hurt[r.randrange(300) : len(hurt) - r.randrange(300)])
+        else:
+            data = b"".join(r.choice(heads) + bytes(r.randrange(256) for _ in range(r.choice([0, 20, 32, 100]))) + r.choice([b"", b"Xing\0\0\0\7", b"Info\0\0\0\1", b"VBRI", b"ID3\3\0\0\0\0\1\1TXXX"]) for _ in range(30))
+        got = mpeg_audio.read_stream(data)
+        assert got["samples"] >= 0 and 0 <= got["bad_checks"] <= got["checks"] and got["skipped"] <= len(data)
+        assert all(0 <= a and a + b <= len(data) for a, b in zip(got["offsets"], got["sizes"], strict=True))
+
+
+@pytest.mark.parametrize("head,allocation", [("fffe90c0", 16), ("fffe9000", 32), ("fffe9060", 22), ("fffc90c0", None), ("fffc9000", None), ("fff490c0", None)])
+def test_checksums_of_layers_one_and_two(head, allocation):
+    header = bytes.fromhex(head)
+    info = mpeg_audio.parse_header(header)
+    r = random.Random(7)
+    body = bytes(r.randrange(256) for _ in range(info["size"] - 6))
+    if allocation:  # whole bytes in layer I
+        want = int(mpeg_audio.crc16(np.frombuffer(header[2:] + body[:allocation], np.uint8)[None])[0])
+    else:
+        want = next(c for c in range(65536) if mpeg_audio._bitwise_right(header + struct.pack(">H", c) + body, info))
+    frame = header + struct.pack(">H", want) + body
+    got = mpeg_audio.read_stream(frame * 3)
+    assert (got["checks"], got["bad_checks"], len(got["offsets"])) == (3, 0, 3)
+    hurt = bytearray(frame * 3)
+    hurt[info["size"] + 6] ^= 0x10
+    assert mpeg_audio.read_stream(bytes(hurt))["bad_checks"] == 1
+
+
 @pytest.mark.parametrize("head,size,samples", [("fffb9064", 417, 1152), ("fffb9264", 418, 1152), ("fffd9064", 522, 1152), ("ffff9064", 312, 384), ("ffe35064", 144 * 40000 // 11025 // 2, 576)])
 def test_headers(head, size, samples):
     got = mpeg_audio.parse_header(bytes.fromhex(head))
