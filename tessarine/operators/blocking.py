@@ -43,19 +43,42 @@ def _earlier(i: int) -> Column:
     return met
 
 
-def blocked_pairs(df: DataFrame, rules: list[list[str]], order: str = "ord", predicate: Column | None = None) -> DataFrame:
+def _tiled(df: DataFrame, rule: str, order: str, most: int | None) -> DataFrame:
+    """df with _own and _other: blocks of more than `most` records fall into tiles of some `most` each, others are one tile.
+
+    A record goes to all tiles of its block that hold its own bucket, so a hot block's pairs spread over many tasks.
+    """
+    one = F.lit(0)
+    if most is None:
+        return df.withColumns({"_own": one, "_other": one, "_tile": one})
+    hot = df.where(F.col(rule).isNotNull()).groupBy(F.col(rule).alias("_block")).agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("_tiles")).where("_tiles > 1")
+    sized = df.join(hot, F.col(rule) == F.col("_block"), "left").drop("_block").withColumn("_tiles", F.coalesce("_tiles", F.lit(1)))
+    sized = sized.withColumn("_own", F.pmod(F.xxhash64(F.col(order)), F.col("_tiles")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    return sized.withColumn("_tile", F.least("_own", "_other") * F.col("_tiles") + F.greatest("_own", "_other")).drop("_tiles")
+
+
+def _once_in_a_tile() -> Column:
+    """Pairs of two buckets meet in their one tile; those of one bucket only in its diagonal tile."""
+    return (F.col("a__tile") == F.col("b__tile")) & ((F.col("a__own") != F.col("b__own")) | (F.col("a__other") == F.col("a__own")) & (F.col("b__other") == F.col("b__own")))
+
+
+def blocked_pairs(df: DataFrame, rules: list[list[str]], order: str = "ord", predicate: Column | None = None, most: int | None = None) -> DataFrame:
     """Pairs (a_*, b_*), a before b in order, that any rule brings together.
 
-    One equi-join a rule; a pair is emitted by the first rule that it satisfies, so the union needs no distinct.
+    One equi-join a rule; a pair is emitted by the first rule that it satisfies, so the union needs no distinct. With `most`,
+    blocks of more records than that are joined in tiles (no pair is lost); a smaller block's plan stays the same.
     """
     keyed = _with_rules(df, rules)
-    a, b = _side(keyed, "a"), _side(keyed, "b")
     out = None
     for i in range(len(rules)):
+        sized = _tiled(keyed, f"_rule{i}", order, most)
+        a, b = _side(sized, "a"), _side(sized, "b")
         on = (F.col(f"a__rule{i}") == F.col(f"b__rule{i}")) & (F.col(f"a_{order}") < F.col(f"b_{order}")) & ~_earlier(i)
+        if most is not None:
+            on = on & _once_in_a_tile()
         part = a.join(b, on if predicate is None else on & predicate)
         out = part if out is None else out.unionByName(part)
-    return out.drop(*[f"{s}__rule{i}" for s in "ab" for i in range(len(rules))])
+    return out.drop(*[f"{s}__{c}" for s in "ab" for c in ("own", "other", "tile", *[f"rule{i}" for i in range(len(rules))])])
 
 
 def blocked_cross(df: DataFrame, known: DataFrame, rules: list[list[str]], predicate: Column | None = None) -> DataFrame:
@@ -83,7 +106,13 @@ def all_pairs(df: DataFrame, order: str = "ord", buckets: int = 8, predicate: Co
     return out.drop(*[f"{s}__{c}" for s in "ab" for c in ("own", "other", "tile")])
 
 
-def all_cross(df: DataFrame, known: DataFrame, predicate: Column | None = None) -> DataFrame:
-    """Every record with every known record. The result has |df| x |known| rows: prefer rules for anything large."""
-    out = _side(df, "a").crossJoin(_side(known, "b"))
-    return out if predicate is None else out.where(predicate)
+def all_cross(df: DataFrame, known: DataFrame, predicate: Column | None = None, buckets: int = 8, order: str = "ord") -> DataFrame:
+    """Every record with every known record, by an equi-join of bucket pairs. The result has |df| x |known| rows: prefer rules
+    for anything large."""
+    bucket = F.pmod(F.xxhash64(F.col(order)), F.lit(buckets)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
+    a = _side(df.withColumn("_row", bucket).withColumn("_column", every), "a")
+    b = _side(known.withColumn("_column", bucket).withColumn("_row", every), "b")
+    on = (F.col("a__row") == F.col("b__row")) & (F.col("a__column") == F.col("b__column"))
+    out = a.join(b, on if predicate is None else on & predicate)
+    return out.drop(*[f"{s}__{c}" for s in "ab" for c in ("row", "column")])

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocking, compare
+
 LOW, HIGH = 0.01, 0.99
 CONVERGED, NOT_CONVERGED, HEURISTIC, SUPPLIED = "Converged", "NotConverged", "HeuristicDefault", "Supplied"
 
@@ -123,9 +125,47 @@ def non_match_agreement(df: DataFrame, fields: list[str]) -> DataFrame:
     return out
 
 
-def from_non_match_agreement(u: dict[str, float], m: float = 0.92, prior: float = 0.5) -> Parameters:
-    """Supplied parameters of exact fields: one m for all, u as measured."""
-    return Parameters({f: [1 - m, m] for f in u}, {f: [1 - x, x] for f, x in u.items()}, prior)
+def level_agreement(df: DataFrame, comparisons: dict[str, compare.Comparison], most_pairs: int = 100_000, seed: int = 0, order: str = "ord") -> dict[str, list[float]]:
+    """u per level of every field: the shares of the levels among pairs of the population with both values, bounded.
+
+    Exact fields have a closed form. Other fields compare distinct values, each pair of them weighing as many pairs of records
+    as there are; where these exceed most_pairs, records are dealt by hash into groups that give about most_pairs pairs in
+    all, and pairs within groups stand for the rest (a sample is the operator's way beyond its budget). Fields that no pair
+    holds are left out.
+    """
+    exact = [f for f, c in comparisons.items() if c.method == "exact"]
+    out = {}
+    for r in non_match_agreement(df, exact).where("u IS NOT NULL").collect() if exact else []:
+        out[r["field"]] = [1 - r["u"], r["u"]]
+    for f, how in comparisons.items():
+        if f in exact:
+            continue
+        held = df.where(F.col(f).isNotNull()).select(F.col(order), F.col(f).alias("v"))
+        n, values = held.agg(F.count("*"), F.count_distinct("v")).first()
+        if n < 2:
+            continue
+        if values * (values - 1) // 2 <= most_pairs:
+            counted = held.groupBy("v").agg(F.count("*").alias("c")).withColumn("ord", F.col("v"))
+            pairs = blocking.all_pairs(counted).withColumn("_w", F.col("a_c") * F.col("b_c"))
+            own = counted.withColumns({"a_v": F.col("v"), "b_v": F.col("v"), "_w": F.expr("c * (c - 1) div 2")})
+            pairs = pairs.select("a_v", "b_v", "_w").unionByName(own.select("a_v", "b_v", "_w"))
+        else:
+            groups = max(1, round(n * (n - 1) / 2 / most_pairs))
+            dealt = held.withColumnRenamed(order, "ord").withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "ord"), F.lit(groups)))
+            pairs = blocking.blocked_pairs(dealt, [["g"]]).select("a_v", "b_v", F.lit(1).cast("long").alias("_w"))
+        levels = pairs.withColumn("_level", compare.level_of("v", how)).groupBy("_level").agg(F.sum("_w").alias("n")).collect()
+        counts = np.zeros(how.levels)
+        for r in levels:
+            counts[r["_level"]] += r["n"]
+        if counts.sum():
+            out[f] = bounded(counts / counts.sum()).tolist()
+    return {f: out[f] for f in comparisons if f in out}
+
+
+def from_non_match_agreement(u: dict[str, float | list[float]], m: float = 0.92, prior: float = 0.5) -> Parameters:
+    """Supplied parameters: u as measured (a number for exact fields, or one a level), and one m for the top level of all."""
+    levels = {f: [1 - x, x] if isinstance(x, float) else list(x) for f, x in u.items()}
+    return Parameters({f: [(1 - m) / (len(x) - 1)] * (len(x) - 1) + [m] for f, x in levels.items()}, levels, prior)
 
 
 def value_frequencies(df: DataFrame, fields: list[str]) -> DataFrame:

@@ -79,19 +79,23 @@ def gray_budget(own: DataFrame, candidates: DataFrame, budget: int = 200) -> Dat
     return both.orderBy(F.col("llr").desc(), "kind", "id_a", "id_b").limit(budget)
 
 
-def error_rates(pairs: DataFrame, prior: float) -> DataFrame:
-    """Expected matches and non-matches, and the rates of false ones, from posteriors alone."""
+def error_rates(pairs: DataFrame, prior: float, weight: str | None = None) -> DataFrame:
+    """Expected matches and non-matches, and the rates of false ones, from posteriors alone.
+
+    pairs has llr and cls, a row a pair; or a row a pattern, with its number of pairs in the column `weight`.
+    """
     p = posterior(F.col("llr"), prior)
     is_match, is_non = F.col("cls") == MATCH, F.col("cls") == NON_MATCH
-    zero = F.lit(0.0)
+    zero, w = F.lit(0.0), (F.lit(1) if weight is None else F.col(weight)).cast("double")
+    add = lambda x: F.sum(x * w)
     sums = pairs.agg(
-        F.count("*").alias("n_pairs"),
-        F.sum(p).alias("expected_match"),
-        F.sum(F.lit(1.0) - p).alias("expected_non_match"),
-        F.sum(F.when(is_match, F.lit(1.0) - p).otherwise(zero)).alias("_false_match"),
-        F.sum(F.when(is_non, p).otherwise(zero)).alias("_false_non"),
-        F.avg((F.col("cls") == GRAY).cast("double")).alias("gray_share"),
-        F.avg(is_ambiguous(F.col("llr"), prior).cast("double")).alias("ambiguous_share"),
+        F.coalesce(F.sum(w), zero).cast("long").alias("n_pairs"),
+        add(p).alias("expected_match"),
+        add(F.lit(1.0) - p).alias("expected_non_match"),
+        add(F.when(is_match, F.lit(1.0) - p).otherwise(zero)).alias("_false_match"),
+        add(F.when(is_non, p).otherwise(zero)).alias("_false_non"),
+        (add((F.col("cls") == GRAY).cast("double")) / F.sum(w)).alias("gray_share"),
+        (add(is_ambiguous(F.col("llr"), prior).cast("double")) / F.sum(w)).alias("ambiguous_share"),
     )
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(zero)
     return sums.select("n_pairs", "expected_match", "expected_non_match", rate("_false_match", "expected_non_match").alias("false_match_rate"), rate("_false_non", "expected_match").alias("false_non_match_rate"), "gray_share", "ambiguous_share")

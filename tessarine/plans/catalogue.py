@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
-from ..operators import blocking, compare, estimate, grounding, metrics, records, review, score
+from ..operators import blocking, compare, estimate, grounding, metrics, records, review, score, setjoin
 from ..operators.cluster import components
 from ..proposals import chain, checks, confidence, declared, harness, turtle
 from ..sources import variants
@@ -60,9 +60,9 @@ def measured(df: DataFrame, fields: list[str]) -> estimate.Parameters:
     return estimate.from_non_match_agreement({r["field"]: r["u"] for r in estimate.non_match_agreement(df, fields).collect()}, M)
 
 
-def scored_parts(spark: SparkSession, sf_dir: str, fields: list[str] = PART_FIELDS, rules=(("p_name",),)) -> DataFrame:
+def scored_parts(spark: SparkSession, sf_dir: str, fields: list[str] = PART_FIELDS, rules=(("p_name",),), p: estimate.Parameters | None = None) -> DataFrame:
     df = parts(spark, sf_dir)
-    p = measured(df, fields)
+    p = p or measured(df, fields)
     pairs = compare.with_levels(blocking.blocked_pairs(df, [list(r) for r in rules]), {f: compare.EXACT for f in fields})
     pairs = pairs.withColumn("llr", score.llr(p))
     return pairs.withColumn("cls", score.classify(F.col("llr"))).withColumnsRenamed({"a_record_id": "id_a", "b_record_id": "id_b"})
@@ -138,7 +138,7 @@ def llr_frequency_adjusted(spark, sf_dir):
     df = parts(spark, sf_dir)
     p = measured(df, PART_FIELDS)
     shares = estimate.value_frequencies(df, ["p_brand"])
-    return rounded(score.frequency_adjusted(scored_parts(spark, sf_dir), p, shares, ["p_brand"]).select("id_a", "id_b", "llr"), "llr")
+    return rounded(score.frequency_adjusted(scored_parts(spark, sf_dir, p=p), p, shares, ["p_brand"]).select("id_a", "id_b", "llr"), "llr")
 
 
 _KNOWN_FIELDS = ["p_name", "p_brand", "p_type"]
@@ -193,7 +193,11 @@ _POST = f"(1.0::DOUBLE / (1.0::DOUBLE + exp(-(llr + ln({_PRIOR}::DOUBLE) - ln(1
     "SELECT n_pairs, round(em, 6) AS expected_match, round(en, 6) AS expected_non_match, round(CASE WHEN en > 0 THEN fm / en ELSE 0 END, 6) AS false_match_rate, round(CASE WHEN em > 0 THEN fn / em ELSE 0 END, 6) AS false_non_match_rate, round(g, 6) AS gray_share, round(am, 6) AS ambiguous_share FROM s"
 )
 def error_rates(spark, sf_dir):
-    out = score.error_rates(scored_parts(spark, sf_dir), _PRIOR)
+    df = parts(spark, sf_dir)
+    p = measured(df, PART_FIELDS)
+    patterns = compare.patterns(compare.with_levels(blocking.blocked_pairs(df, [["p_name"]]), dict.fromkeys(PART_FIELDS, compare.EXACT)), PART_FIELDS)
+    scored = patterns.withColumn("llr", score.llr(p)).withColumn("cls", score.classify(F.col("llr")))
+    out = score.error_rates(scored, _PRIOR, "n")
     return rounded(out, *[c for c in out.columns if c != "n_pairs"])
 
 
@@ -237,9 +241,18 @@ def duplicate_record_ids(spark, sf_dir):
 def token_jaccard_docs(spark, sf_dir):
     """Documents of one language and source, by the overlap of their words; token sets are worked out once a document."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "lang", "source", F.array_distinct(text.tokens(F.coalesce("text", F.lit("")))).alias("toks"))
-    pairs = blocking.blocked_pairs(docs, [["lang", "source"]])
-    s = similarity.set_jaccard(F.col("a_toks"), F.col("b_toks"))
-    out = pairs.select(F.col("a_ord").alias("id_a"), F.col("b_ord").alias("id_b"), s.alias("jaccard"))
+    out = setjoin.all_jaccards(docs, ["lang", "source"], "toks")
+    return rounded(out.withColumn("g", similarity.level(F.col("jaccard"), [0.5, 0.75, 1.0])), "jaccard")
+
+
+_TOKEN_SETS = "t AS (SELECT doc_id, lang, source, list_distinct(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{Nd}\\p{Mn}\\p{Mc}]+')) AS toks FROM documents), p AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, len(list_intersect(a.toks, b.toks)) AS k, len(a.toks) AS na, len(b.toks) AS nb FROM t a JOIN t b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id), j AS (SELECT id_a, id_b, CASE WHEN na + nb - k = 0 THEN 1.0 ELSE k::DOUBLE / (na + nb - k) END AS s FROM p)"
+
+
+@query(f"WITH {_TOKEN_SETS} SELECT id_a, id_b, round(s, 6) AS jaccard, CAST(s >= 0.5 AS INT) + CAST(s >= 0.75 AS INT) + CAST(s >= 1.0 AS INT) AS g FROM j WHERE s >= 0.5")
+def token_jaccard_links(spark, sf_dir):
+    """The pairs of token_jaccard_docs that reach the lowest level, without forming the others."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "lang", "source", text.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
+    out = setjoin.jaccard_at_least(docs, ["lang", "source"], "toks", 0.5)
     return rounded(out.withColumn("g", similarity.level(F.col("jaccard"), [0.5, 0.75, 1.0])), "jaccard")
 
 
