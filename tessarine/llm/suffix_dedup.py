@@ -614,9 +614,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     hot_routes = written(found.where("place < 0").select("route"), "repeat-hot")
     todo = found.where("place >= 0").join(hot_routes.withColumn("hot", F.lit(True)), "route", "left")
     todo = todo.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("place", "route", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("todo"))
-    contexts = _contexts(own.join(todo, ["doc_id", "row_key"]), length, gram).repartition(n, "route").sortWithinPartitions("route")
-    spans = written(_sorted_repeats(contexts, length, gram), "repeat-spans")
+    # written before contexts are cut, so that the texts' shuffle is gone when those travel
+    texts = written(own.join(todo, ["doc_id", "row_key"]), "repeat-texts")
     dropped(found, hot_routes)
+    contexts = _contexts(texts, length, gram).repartition(n, "route").sortWithinPartitions("route")
+    spans = written(_sorted_repeats(contexts, length, gram), "repeat-spans")
+    dropped(texts)
     gone = spans.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("begin", "size")).alias("spans"))
     joined = own.join(gone, ["doc_id", "row_key"], "left").select("doc_id", "text", "spans")
 
