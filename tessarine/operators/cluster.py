@@ -37,3 +37,22 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         raise RuntimeError("the components didn't settle")
     roots = pairs.select(F.col("v").alias("node")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+
+
+def split_clusters(clusters: DataFrame, denoted: DataFrame) -> DataFrame:
+    """cluster_id, n_entities of clusters of two records and more whose records denote several entities.
+
+    clusters: record_id, cluster_id; denoted: entity_id, record_id.
+    """
+    sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("_n")).where("_n > 1").select("cluster_id")
+    met = denoted.select("entity_id", "record_id").distinct().join(clusters, "record_id").groupBy("cluster_id").agg(F.count_distinct("entity_id").alias("n_entities"))
+    return met.where("n_entities > 1").join(sizes, "cluster_id", "left_semi")
+
+
+def confirmed_identity(confirmed: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """key, identity: the smallest key of all that confirmed merges (a, b) join, for every key of them; with keys (key), for
+    those, each alone that no merge names."""
+    found = components(confirmed.select("a", "b")).select(F.col("node").alias("key"), F.col("component").alias("identity"))
+    if keys is None:
+        return found
+    return keys.select("key").distinct().join(found, "key", "left").select("key", F.coalesce("identity", "key").alias("identity"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import compare_key, joined_key, trimmed
+from ..functions.text import compare_key, joined_key, name_key, trimmed
 
 
 def field_names(bags: DataFrame, fields: str = "fields") -> list[str]:
@@ -51,6 +51,31 @@ def check_prior(known: DataFrame, mentioned: DataFrame | None = None, records: D
         raise ValueError(f"records of this call are known already: {[r[0] for r in both]}")
 
 
+def prior_defects(known: DataFrame, mentioned: DataFrame, types: DataFrame, seen: DataFrame, records: DataFrame, folded: bool = True) -> DataFrame:
+    """defect, item of prior knowledge that can't stand.
+
+    known, mentioned: key, name, type, a row an entity; types: name; seen: record_id, a row a record that denotes, mentions or
+    is a specimen; records: record_id of this call. Defects: BlankKnown and BlankMentioned (key, name or type), RepeatedKey,
+    KnownAndMentioned, BlankType, RepeatedType (the same letters and digits), RecordSeenBefore.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    some = blank("key") | blank("name") | blank("type")
+    row = lambda df, name, item: df.select(F.lit(name).alias("defect"), item.alias("item"))
+    key = F.coalesce("key", F.lit(""))
+    parts = [row(known.where(some), "BlankKnown", key), row(mentioned.where(some), "BlankMentioned", key)]
+    for df in (known, mentioned):
+        parts.append(row(df.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "RepeatedKey", key))
+    parts.append(row(known.select("key").distinct().join(mentioned.select("key").distinct(), "key"), "KnownAndMentioned", key))
+    keyed = types.withColumn("_key", F.coalesce(name_key(F.col("name"), folded), F.lit("")))
+    parts.append(row(keyed.where("_key = ''"), "BlankType", F.coalesce("name", F.lit(""))))
+    parts.append(row(keyed.where("_key <> ''").groupBy("_key").agg(F.count("*").alias("n")).where("n > 1"), "RepeatedType", F.col("_key")))
+    parts.append(row(records.select("record_id").distinct().join(seen.select("record_id").distinct(), "record_id"), "RecordSeenBefore", F.col("record_id").cast("string")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def reference_fields(relations: DataFrame, structures: DataFrame) -> DataFrame:
     """subject, ref_fields: the fields that hold references to other subjects.
 

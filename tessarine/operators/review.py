@@ -119,6 +119,50 @@ def score_records(verdicts: DataFrame, clusters: DataFrame) -> DataFrame:
     return sums.select("record_id", open_.alias("excluded"), F.when(~open_, p).alias("review_precision"), F.when(~open_, r).alias("review_recall"), low_p.alias("precision_low"), p.alias("precision_high"), low_r.alias("recall_low"), r.alias("recall_high"))
 
 
+def scored_sample(sample: DataFrame, clusters: DataFrame, verdicts: DataFrame, reviewer: str, candidates: DataFrame) -> DataFrame:
+    """stratum, population and the scores of every sampled record, by one reviewer's verdicts.
+
+    sample: stratum, record_id, population (draw_pilot()); candidates: record_id, candidate_id, what the reviewer was shown
+    (candidates_of() from pairs, or the caller's own). The reviewer must have verdicts, on shown candidates alone, once each,
+    on all of them and on the other members of the record's cluster; a sampled record must be in a cluster. A record with
+    nothing to judge scores 1 and 1.
+    """
+    mine = verdicts.where(F.col("reviewer_id") == reviewer).select("record_id", "candidate_id", "outcome")
+    if not mine.take(1):
+        raise ValueError(f"reviewer {reviewer} has no verdicts")
+    chosen = sample.select("record_id").distinct()
+    members = chosen.join(clusters, "record_id").join(clusters.withColumnRenamed("record_id", "candidate_id"), "cluster_id").where("record_id <> candidate_id").select("record_id", "candidate_id")
+    shown = candidates.select("record_id", "candidate_id").join(chosen, "record_id", "left_semi").union(members).distinct()
+    own = mine.join(chosen, "record_id", "left_semi")
+    pair = ["record_id", "candidate_id"]
+    for rows, what in (
+        (chosen.join(clusters, "record_id", "left_anti").select("record_id", F.lit(None).alias("candidate_id")), "in no cluster"),
+        (own.join(shown, pair, "left_anti").select(*pair), "never shown"),
+        (own.groupBy(*pair).agg(F.count("*").alias("n")).where("n > 1").select(*pair), "judged twice"),
+        (shown.join(own, pair, "left_anti").select(*pair), "not judged"),
+    ):
+        if bad := rows.limit(5).collect():
+            raise ValueError(f"{what}: {[tuple(r) for r in bad]}")
+    scored = score_records(own, clusters)
+    one = lambda c: F.coalesce(c, F.when(F.col("excluded").isNull(), F.lit(1.0)))
+    names = ("review_precision", "review_recall", "precision_low", "precision_high", "recall_low", "recall_high")
+    joined = sample.select("stratum", "record_id", "population").join(scored, "record_id", "left")
+    return joined.select("stratum", "population", "record_id", F.coalesce("excluded", F.lit(False)).alias("excluded"), *[one(c).alias(c) for c in names])
+
+
+def candidates_of(pairs: DataFrame) -> DataFrame:
+    """record_id, candidate_id: both ways of the pairs (id_a, id_b)."""
+    one, two = pairs.select(F.col("id_a").alias("record_id"), F.col("id_b").alias("candidate_id")), pairs.select(F.col("id_b").alias("record_id"), F.col("id_a").alias("candidate_id"))
+    return one.union(two).distinct()
+
+
+def scores_by_stratum(scored: DataFrame) -> DataFrame:
+    """stratum, population, n_sampled, n_excluded, means of precision and recall of what isn't excluded, and of the bounds of
+    all; the scores themselves stay rows of scored_sample()."""
+    mean = lambda c: F.avg(c).alias(c)
+    return scored.groupBy("stratum", "population").agg(F.count("*").alias("n_sampled"), F.sum(F.col("excluded").cast("long")).alias("n_excluded"), *[mean(c) for c in ("review_precision", "review_recall", "precision_low", "precision_high", "recall_low", "recall_high")])
+
+
 def missing_verdicts(sample: DataFrame, clusters: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Pairs of a sampled record and a member of its cluster that nobody judged."""
     own = sample.select("record_id").join(clusters, "record_id")

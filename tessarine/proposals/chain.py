@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -73,11 +73,24 @@ def lenient_join(left: DataFrame, right: DataFrame, folded: bool = True) -> Data
     return a.where("k <> ''").join(b, "k").select("left_id", "right_id")
 
 
+def grams(c: Column, most: int = 3) -> Column:
+    """The distinct substrings of one to `most` characters."""
+    of = lambda k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(k) for k in range(1, most + 1)]))
+
+
+def containing(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """The rows of texts and parts where the text contains the part, by an equi-join on the part's first three characters."""
+    a = texts.withColumn("_gram", F.explode(grams(F.col(text))))
+    b = parts.where(F.col(part) != "").withColumn("_gram", F.substring(F.col(part), 1, 3))
+    return a.join(b, "_gram").where(F.contains(F.col(text), F.col(part))).drop("_gram")
+
+
 def over_merged(names: DataFrame, things: DataFrame, folded: bool = True) -> DataFrame:
-    """id, n_things of names that contain the names of two things and more. The nested loop is over the few names of things."""
+    """id, n_things of names that contain the names of two things and more."""
     a = names.select("id", name_key(F.col("name"), folded).alias("_n"))
-    b = things.select("thing", name_key(F.col("name"), folded).alias("_t")).where("_t <> ''")
-    return a.join(b, F.contains("_n", "_t")).groupBy("id").agg(F.count_distinct("thing").alias("n_things")).where("n_things >= 2")
+    b = things.select("thing", name_key(F.col("name"), folded).alias("_t"))
+    return containing(a, "_n", b, "_t").groupBy("id").agg(F.count_distinct("thing").alias("n_things")).where("n_things >= 2")
 
 
 def across_parents(denotes: DataFrame, scopes: DataFrame) -> DataFrame:

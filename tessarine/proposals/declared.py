@@ -44,9 +44,11 @@ def merged_relations(relations: DataFrame, declared: DataFrame, folded: bool = T
 
 def bound_references(fields: DataFrame, relations: DataFrame) -> DataFrame:
     """Relations that bound fields imply and nobody declared. fields: subject, name, bound_to, via_field (may be null);
-    relations: subject, via_field. Both the field and its via field refer to the bound subject."""
+    relations: subject, via_field, and target if a relation over the same field to another subject shall not count. Both the
+    field and its via field refer to the bound subject."""
     own = fields.where("bound_to IS NOT NULL").select("subject", F.col("bound_to").alias("target"), F.explode(F.array_distinct(F.array_compact(F.array("name", "via_field")))).alias("via_field"))
-    return own.join(relations.select("subject", "via_field"), ["subject", "via_field"], "left_anti").withColumn("kind", F.lit("Reference"))
+    keys = ["subject", "via_field", *(["target"] if "target" in relations.columns else [])]
+    return own.join(relations.select(*keys), keys, "left_anti").withColumn("kind", F.lit("Reference"))
 
 
 def recovered_labels(relations: DataFrame, rendered: DataFrame) -> DataFrame:

@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key
+from .chain import containing
 
 
 def reach(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """question, n_concepts, n_reached, reached: a concept is reached if a term of the vocabulary contains one of its
     alternatives, a question if all its concepts are.
 
-    questions: question, concept, alternatives array<string>; vocabulary: term. The nested loop is over the few alternatives
-    of hand-written questions; terms are made distinct first.
+    questions: question, concept, alternatives array<string>; vocabulary: term. Terms are made distinct first.
     """
     terms = vocabulary.select(F.lower("term").alias("_term")).distinct()
-    asked = questions.select("question", "concept", F.explode("alternatives").alias("_alt"))
-    hits = asked.join(terms, F.contains("_term", F.lower("_alt"))).select("question", "concept").distinct().withColumn("_hit", F.lit(1))
+    asked = questions.select("question", "concept", F.explode(F.transform("alternatives", F.lower)).alias("_alt"))
+    hits = containing(terms, "_term", asked, "_alt").select("question", "concept").distinct().withColumn("_hit", F.lit(1))
     joined = questions.select("question", "concept").distinct().join(hits, ["question", "concept"], "left")
     out = joined.groupBy("question").agg(F.count("*").alias("n_concepts"), F.count("_hit").alias("n_reached"))
     return out.withColumn("reached", F.col("n_reached") == F.col("n_concepts"))
