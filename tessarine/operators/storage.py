@@ -6,12 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Lets go of the shuffle files of an execution when it ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: str | None = None
+_scratch: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,9 +49,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
             spark.conf.set(_CLEAN, before)
     back = spark.read.schema(df.schema).parquet(at)
     back._tessarine_at = at
+    if _scratch:
+        _scratch[-1].append(back)
     return back
 
 
+@contextmanager
+def scratch():
+    """Tables written within are deleted at the end, but for those handed to the function that it yields."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    _scratch.append(made)
+    try:
+        yield keep
+    finally:
+        _scratch.remove(made)
+        dropped(*[t for t in made if not any(t is k for k in kept)])
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by written(), once nothing lazy reads them any more."""
     for df in tables:
