@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.storage import dropped, shared_folder, written
+from ..operators.storage import dropped, scratch, shared_folder, written
 
-__all__ = ["BLANKS", "BLANK_RUN", "dropped", "in_global_order", "shared_folder", "span_hashes", "whole_text", "words", "written"]
+__all__ = ["BLANKS", "BLANK_RUN", "dropped", "in_global_order", "scratch", "shared_folder", "span_hashes", "unused", "whole_text", "words", "written"]
 
 #: The white space of every contract here: blank, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\f\r"
@@ -21,6 +21,14 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores after it until none of the columns has it (Spark doesn't tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """The runs of characters other than BLANKS, as an array; empty for a blank text."""
     inner = F.btrim(text, F.lit(BLANKS))

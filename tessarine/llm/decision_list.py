@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, dropped, whole_text, words, written
+from .common import BLANKS, dropped, unused, whole_text, words, written
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -36,37 +36,39 @@ def _without(text: Column, characters: str) -> Column:
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
-    """docs with the base counts and the features' inputs; the text is read once."""
+    """docs with the base counts and the features' inputs (BASE and COUNTED, which replace columns of these names); the text
+    is read once."""
     text = whole_text()
-    out = docs.withColumn("_words", words(text)).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
+    words_, lines_, windows_, starts_, barrier_ = (unused(c, docs.columns) for c in ("_words", "_lines", "_windows", "_starts", "_barrier"))
+    out = docs.withColumn(words_, words(text)).withColumn(lines_, F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
     third = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    size = F.size("_words")
+    size = F.size(words_)
     # the windows' hashes beside their places, sorted: equal windows are neighbours
-    windows = F.when(size >= 3, F.transform(F.sequence(F.lit(0), size - 3), lambda i: F.struct(third(F.col("_words"), i).alias("h"), i.alias("i"))))
-    out = out.withColumn("_windows", F.array_sort(windows))
-    twice = F.filter("_windows", lambda x, k: F.coalesce(F.get(F.col("_windows"), k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(F.col("_windows"), k + 1)["h"] == x["h"], F.lit(False)))
-    out = out.withColumn("_starts", F.array_sort(F.transform(twice, lambda x: x["i"])))
-    covered = F.aggregate(F.transform("_starts", lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col("_starts"), k + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
+    windows = F.when(size >= 3, F.transform(F.sequence(F.lit(0), size - 3), lambda i: F.struct(third(F.col(words_), i).alias("h"), i.alias("i"))))
+    out = out.withColumn(windows_, F.array_sort(windows))
+    twice = F.filter(windows_, lambda x, k: F.coalesce(F.get(F.col(windows_), k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(F.col(windows_), k + 1)["h"] == x["h"], F.lit(False)))
+    out = out.withColumn(starts_, F.array_sort(F.transform(twice, lambda x: x["i"])))
+    covered = F.aggregate(F.transform(starts_, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col(starts_), k + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
     chars = F.length(text)
     out = out.withColumns(
         {
             "n_words": size.cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "word_chars": F.length(F.array_join(words_, "")).cast("long"),
             "n_symbols": (chars - F.length(_without(text, SYMBOLS))).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "n_dup_lines": (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-            "_n_lines": F.size("_lines").cast("long"),
+            "_n_lines": F.size(lines_).cast("long"),
             "_capitals": (chars - F.length(F.regexp_replace(text, "[\\p{Lu}]+", ""))).cast("long"),
             "_marks": (chars - F.length(_without(text, "!?"))).cast("long"),
             "_digits": (chars - F.length(F.regexp_replace(text, "[0-9]+", ""))).cast("long"),
-            "_distinct": F.size(F.array_distinct("_words")).cast("long"),
-            "_barrier": F.monotonically_increasing_id(),
+            "_distinct": F.size(F.array_distinct(words_)).cast("long"),
+            barrier_: F.monotonically_increasing_id(),
         }
     )
     # the counts lean on a column that isn't deterministic: else a filter on them would be pushed below the arrays, and
     # these worked out anew for every word
-    guarded = {c: F.when(F.col("_barrier") >= 0, F.col(c)) for c in (*BASE, *COUNTED)}
-    return out.drop("_words", "_lines", "_windows", "_starts").withColumns(guarded).drop("_barrier")
+    guarded = {c: F.when(F.col(barrier_) >= 0, F.col(c)) for c in (*BASE, *COUNTED)}
+    return out.drop(words_, lines_, windows_, starts_).withColumns(guarded).drop(barrier_)
 
 
 COUNTED = ("_n_lines", "_capitals", "_marks", "_digits", "_distinct")
@@ -206,7 +208,9 @@ def learn_from_labels(counted: DataFrame, labels: DataFrame, held_out: bool = Tr
     known = known.where(crc % 4 != 2) if held_out else known
     columns = {f: x.alias(f) for f, x in features().items()}
     rows = written(known.select(*columns.values(), F.when(F.col("_quality") == 0, 1).otherwise(0).alias("bad"), (F.shiftright(crc, 2) % 3 == 0).alias("prune")), "rule-rows")
-    return learn(rows)
+    rules = learn(rows)
+    dropped(rows)
+    return rules
 
 
 def judged(counted: DataFrame, rules: list[list[Condition]]) -> DataFrame:
@@ -218,7 +222,9 @@ def reject_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
     only_ids = labels.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
     sample = docs.select("doc_id", "text").join(only_ids, "doc_id", "left_semi")
-    rules = learn_from_labels(written(with_counts(sample).drop("text"), "rule-counts"), labels)
+    counts = written(with_counts(sample).drop("text"), "rule-counts")
+    rules = learn_from_labels(counts, labels)
+    dropped(counts)
     own = docs.select(F.struct("*").alias("_own"), F.col("text"))
     return judged(with_counts(own), rules).where("kept").select("_own.*")
 

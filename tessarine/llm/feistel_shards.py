@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_global_order, whole_text, written
+from .common import dropped, in_global_order, whole_text, written
 
 ROUNDS = 8
 
@@ -86,6 +86,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 20, id_col: str =
     light = written(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")), "shard-rows")
     n = light.count()
     numbered = in_global_order(light, ["doc_id", "text_crc32", "size"])
+    dropped(light)  # its rows were written anew, in order
 
     @F.pandas_udf("long")
     def place(rows: pd.Series) -> pd.Series:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANKS, whole_text, written
+from .common import BLANKS, dropped, unused, whole_text, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -134,6 +134,7 @@ def lines_to_drop(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = hashed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("range_id", F.spark_partition_id())
     decided = written(ranged.mapInArrow(_pass_over_range(min_docs), _OUT), "line-decisions")
+    dropped(hashed)
     # one or two rows a range; a document whose lines lie on both sides of a border was counted on both
     edges = decided.where(F.col("kind") == _EDGE)
     in_order = Window.partitionBy("h1", "h2").orderBy("range_id")
@@ -172,13 +173,14 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
 
         return pd.Series([one(t, b) for t, b in zip(text, bits, strict=True)], dtype=object)
 
-    bitmaps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("_lines_id"), F.col("row_key").alias("_lines_row"), F.col("n_dropped").alias("_lines_gone"), F.col("keep_bitmap").alias("_lines_bits"))
+    row_id, row_key, gone, bits = (unused(c, docs.columns) for c in ("_lines_id", "_lines_row", "_lines_gone", "_lines_bits"))
+    bitmaps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias(row_id), F.col("row_key").alias(row_key), F.col("n_dropped").alias(gone), F.col("keep_bitmap").alias(bits))
     whole = docs.withColumn("text", whole_text())
-    met = (F.coalesce(whole["doc_id"].cast("long"), F.lit(_NULL_ID)) == bitmaps["_lines_id"]) & (F.xxhash64(whole["text"]) == bitmaps["_lines_row"])
+    met = (F.coalesce(whole["doc_id"].cast("long"), F.lit(_NULL_ID)) == bitmaps[row_id]) & (F.xxhash64(whole["text"]) == bitmaps[row_key])
     joined = whole.join(bitmaps, met, "left").withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
     # only texts that lose lines travel to Python
-    kept = F.coalesce(applied(F.when(F.col("_lines_bits").isNotNull(), F.col("text")), F.col("_lines_bits")), F.col("text"))
-    return joined.withColumns({"text": kept, "n_dropped": F.coalesce("_lines_gone", F.lit(0).cast("long"))}).drop("_lines_id", "_lines_row", "_lines_gone", "_lines_bits")
+    kept = F.coalesce(applied(F.when(F.col(bits).isNotNull(), F.col("text")), F.col(bits)), F.col("text"))
+    return joined.withColumns({"text": kept, "n_dropped": F.coalesce(gone, F.lit(0).cast("long"))}).drop(row_id, row_key, gone, bits)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

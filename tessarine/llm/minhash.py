@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cluster import components
-from .common import dropped, span_hashes, whole_text, written
+from .common import dropped, span_hashes, unused, whole_text, written
 
 K, SHARE, ROWS, SLOTS = 4, 80, 3, 24
 _NULL_ID = -(2**63)
@@ -274,16 +274,18 @@ def keep_one_each(docs: DataFrame, k: int = K, share: int = SHARE) -> DataFrame:
     """
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
     if docs.select(ids.alias("_id")).groupBy("_id").count().where("count > 1").isEmpty():
-        gone = near_duplicates(docs, k, share).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+        name = unused("_gone", docs.columns)
+        gone = near_duplicates(docs, k, share).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+        return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
     # the rows get ids of their own; equal rows are interchangeable, so which of them stays makes no difference
     rank = F.struct(ids.alias("id"), F.xxhash64(F.to_json(F.struct(*docs.columns))).alias("hash"))
-    keyed = written(docs.select("*", F.monotonically_increasing_id().alias("_row"), rank.alias("_rank")), "minhash-rows")
-    found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), k, share).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
-    found = found.join(keyed.select("_row", "_rank"), "_row")
+    row, place = unused("_row", docs.columns), unused("_rank", docs.columns)
+    keyed = written(docs.select("*", F.monotonically_increasing_id().alias(row), rank.alias(place)), "minhash-rows")
+    found = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"), k, share).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    found = found.join(keyed.select(F.col(row).alias("_row"), F.col(place).alias("_rank")), "_row")
     blank = F.col("n_shingles") == 0
     stay = found.groupBy(F.when(~blank, F.col("component_id")), F.when(blank, F.col("_rank.id"))).agg(F.min(F.struct("_rank", "_row")).alias("_least"))
-    return keyed.join(stay.select(F.col("_least._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return keyed.join(stay.select(F.col("_least._row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:

@@ -386,8 +386,10 @@ def _contexts(joined: DataFrame, length: int, gram: int) -> DataFrame:
                 rows = _padded(data, where, size, width)
                 copy, _ = _copies(route, d, size, rows)
                 if copy.any():
-                    # nothing to compare any more; spread over the tasks
-                    yield _rows(_mix(begin[copy].astype(_U)).view(np.int64), d[copy], k[copy], begin[copy], size[copy], pa.nulls(int(copy.sum()), pa.binary()))
+                    # nothing to compare any more; spread over the tasks by document and place
+                    with np.errstate(over="ignore"):
+                        spread = _mix(_mix(d[copy].astype(_U)) + begin[copy].astype(_U))
+                    yield _rows(spread.view(np.int64), d[copy], k[copy], begin[copy], size[copy], pa.nulls(int(copy.sum()), pa.binary()))
                 go = ~copy
                 yield _rows(route[go], d[go], k[go], begin[go], size[go], _binary(rows[go], size[go]))
 

@@ -2,7 +2,9 @@
 
 The words that the vocabulary's pattern cuts are found with array operations on the code points of a whole batch; each
 distinct word is encoded once and the ids are gathered. The ids are those of the tokenizers file (the tests compare them);
-texts that hold the end-of-text mark as characters, which that library reads as one id, are left to the library itself.
+the end-of-text mark written as characters is one id, as that library reads it, and parts a text in two. Texts of more than
+SLICE bytes are encoded piece by piece, cut where a word is sure to begin, so a text needs some fifty times SLICE and four
+times its own size (a text without blanks can't be cut, and needs some fifty times its size).
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MARK = "<|endoftext|>"
-#: Code points of a batch that are cut at once.
+#: Bytes of a batch that are cut at once.
 SLICE = 4_000_000
 _LETTER, _NUMBER, _SPACE, _OTHER, _END = 1, 2, 3, 4, 0
 
@@ -154,6 +156,20 @@ class Encoder:
         gather = np.repeat(begin[codes] - upto[:-1], per_word) + np.arange(upto[-1])
         return counts, flat[gather]
 
+    def _one(self, text: str, with_ids: bool) -> tuple[int, np.ndarray | None]:
+        """A text that holds the mark, or is long: its number of ids, and these."""
+        total, found = 0, []
+        for k, part in enumerate(text.split(MARK)):
+            if k:
+                total += 1
+                found.append(np.array([_mark_id(self.path)], np.uint16))
+            raw = part.encode()
+            for a, b in pieces(raw):
+                counts, ids = self._slice(pa.array([raw[a:b].decode()], pa.large_string()), with_ids)
+                total += int(counts[0])
+                found.append(ids)
+        return total, np.concatenate(found) if with_ids else None
+
     def encode(self, texts: pa.Array, with_ids: bool = True):
         """Yields (number of texts, ids per text, all their ids one after the other or None) for slices of the texts.
 
@@ -163,24 +179,52 @@ class Encoder:
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-        marked = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False)
+        alone = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False) | (size > SLICE)
         i, n = 0, len(texts)
         upto = np.cumsum(size)
         while i < n:
-            if marked[i]:
-                ids = np.array(_library(self.path).encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint16)
-                yield 1, np.array([len(ids)]), ids
+            if alone[i]:
+                count, ids = self._one(texts[i].as_py(), with_ids)
+                yield 1, np.array([count]), ids
                 i += 1
                 continue
             j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SLICE, side="right"))
             j = min(max(j, i + 1), n)
-            if (m := marked[i:j]).any():
+            if (m := alone[i:j]).any():
                 j = i + int(m.argmax())
             counts, ids = self._slice(texts.slice(i, j - i), with_ids)
             yield j - i, counts, ids
             i = j
 
 
+@cache
+def _mark_id(path: str) -> int:
+    return _library(path).token_to_id(MARK)
+
+
+def pieces(raw: bytes, step: int | None = None):
+    """(begin, end) of pieces of some step bytes each: a cut lies before a single blank between two visible ASCII characters,
+    where the vocabulary's pattern always begins a word."""
+    step = step or SLICE
+    data = np.frombuffer(raw, np.uint8)
+    begin = 0
+    while len(data) - begin > step:
+        at = begin + step
+        cut = -1
+        while at + 1 < len(data):
+            part = data[at - 1 : at + 65_537]
+            ok = (part[1:-1] == 32) & (part[:-2] > 32) & (part[:-2] < 127) & (part[2:] > 32) & (part[2:] < 127)
+            if ok.any():
+                cut = at + int(ok.argmax())
+                break
+            at += 65_536
+        if cut < 0:
+            break
+        yield begin, cut
+        begin = cut
+    yield begin, len(data)
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker."""
