@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessarine.llm import decision_list, line_dedup, minhash, mixing, packing
-from tessarine.llm.common import written
+from tessarine.llm.common import dropped, scratch, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,5 +43,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with scratch() as keep:  # what a stage wrote on its way goes
+            done = keep(written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}"))
+        dropped(docs)
+        docs = done
     return docs
