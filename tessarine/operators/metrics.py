@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .score import GRAY, MATCH, classify
+from .score import GRAY, MATCH, classify, logit
 
 
 def contingency(df: DataFrame, predicted: str, truth: str) -> DataFrame:
@@ -94,6 +94,13 @@ def label_confusion(pairs: DataFrame, same: str = "same") -> DataFrame:
     return pairs.groupBy("cls", F.col(same).alias("same")).agg(F.count("*").alias("n"))
 
 
+def scale_comparison(pairs: DataFrame, prior: float, same: str = "same", match: float = 4.0, non_match: float = -4.0) -> DataFrame:
+    """Class by label counts with the thresholds on the ratio (scale ratio) and on the posterior's log odds (scale posterior)."""
+    on = lambda name, x: F.struct(F.lit(name).alias("scale"), classify(x, match, non_match).alias("cls"))
+    both = F.explode(F.array(on("ratio", F.col("llr")), on("posterior", F.col("llr") + F.lit(logit(prior))))).alias("_x")
+    return pairs.select(both, F.col(same).alias("same")).groupBy("_x.scale", "_x.cls", "same").agg(F.count("*").alias("n"))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Spearman's correlation with average ranks for ties; null where one side is constant.
 

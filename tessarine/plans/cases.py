@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import blocking, cluster, compare, estimate, records, review, score, structures
-from ..proposals import chain, confidence, turtle
+from ..operators import blocking, cluster, compare, estimate, grounding, metrics, records, review, score, structures
+from ..proposals import chain, checks, confidence, turtle
 from ..sources import readers, variants
 from . import linkage
-from .catalogue import _BASE, _CHAIN, _NAME, _PARTS, _PRIOR, M, PART_FIELDS, _llr, _scored, _u, chained, parts, query, rounded, scored_parts, sql_input, table
+from .catalogue import _BASE, _CHAIN, _KEYS, _LABELLED, _NAME, _PARTS, _PRIOR, _REASONS, _TOKS, M, PART_FIELDS, _llr, _scored, _u, chained, labelled_pairs, parts, proposed, query, rounded, scored_parts, sql_input, table
 
 # ---------------------------------------------------------------- sources and declarations
 
@@ -320,3 +320,44 @@ def turtle_statements(spark, sf_dir):
     kinds = c.limit(0).select(F.lit("a").alias("sub"), F.lit("b").alias("super"), *told)
     out = turtle.document(entities, relations, kinds, _BASE, folded=False)
     return out.where((F.col("part") == 7) | ((F.col("part") == 8) & ~F.startswith("line", F.lit("[]")))).select("line")
+
+
+# ---------------------------------------------------------------- more checks and measures
+
+
+@query(f"WITH {_LABELLED}, x AS (SELECT same, 'ratio' AS scale, llr AS v FROM scored UNION ALL SELECT same, 'posterior', llr + ln({_PRIOR}::DOUBLE) - ln(1 - {_PRIOR}::DOUBLE) FROM scored) SELECT scale, CASE WHEN v >= 4 THEN 'Match' WHEN v <= -4 THEN 'NonMatch' ELSE 'GrayZone' END AS cls, same, count(*) AS n FROM x GROUP BY 1, 2, 3")
+def threshold_scales(spark, sf_dir):
+    """The same thresholds on the ratio and on the posterior's log odds, by label."""
+    return metrics.scale_comparison(labelled_pairs(spark, sf_dir), _PRIOR)
+
+
+@query(f"WITH c AS (SELECT conv_id, turn, {_TOKS('text')} AS w FROM conversations WHERE role = 'assistant'), s AS (SELECT a.conv_id, a.turn, list_distinct(flatten(list({_TOKS('q.text')}))) AS h FROM conversations a JOIN conversations q ON a.conv_id = q.conv_id AND q.turn < a.turn WHERE a.role = 'assistant' GROUP BY a.conv_id, a.turn), o AS (SELECT CAST(c.conv_id AS STRING) || '/' || CAST(c.turn AS STRING) AS claim_id, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains(coalesce(h, []), x)))::DOUBLE / len(w) END AS s FROM c LEFT JOIN s USING (conv_id, turn)) SELECT claim_id, round(s, 6) AS overlap, coalesce(s >= 0.3, FALSE) AS is_supported FROM o")
+def grounding_claims(spark, sf_dir):
+    """Answers as claims that cite every earlier turn of their conversation, by folded words."""
+    c = table(spark, sf_dir, "conversations")
+    key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("claim_id")
+    claims = c.where("role = 'assistant'").select(key, "conv_id", "turn", F.coalesce("text", F.lit("")).alias("claim"))
+    sources = claims.select("claim_id", "conv_id", F.col("turn").alias("_at")).join(c.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")), "conv_id").where("turn < _at")
+    return rounded(grounding.check_claims(claims.select("claim_id", "claim"), sources.select("claim_id", "text")), "overlap")
+
+
+_GROUPED = "SELECT 'g' || CAST(CAST(floor(c_custkey / 3) AS BIGINT) AS STRING) AS entity_id, 'group ' || CAST(c_custkey % 5 AS STRING) AS name, c_custkey AS record_id FROM customer UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), CASE WHEN c_custkey % 4 > 0 THEN c_name ELSE 'group 1' END, c_custkey FROM customer"
+_POINTS = "SELECT c_custkey AS record_id, CASE c_custkey % 3 WHEN 0 THEN ' key  ' || CAST(c_custkey + 1 AS STRING) WHEN 1 THEN 'Key ' || CAST(c_custkey AS STRING) ELSE 'GROUP 1' END AS value FROM customer"
+_OWN_KEYS = "SELECT c_custkey AS record_id, 'key ' || CAST(c_custkey AS STRING) AS key FROM customer"
+
+
+@query(f"WITH d AS ({_GROUPED}), r AS (SELECT DISTINCT record_id, upper(trim(regexp_replace(value, '\\s+', ' ', 'g'))) AS t FROM ({_POINTS})), k AS (SELECT record_id AS other, upper(key) AS t FROM ({_OWN_KEYS})), b AS (SELECT DISTINCT d.entity_id, r.record_id FROM r JOIN k ON r.t = k.t AND r.record_id <> k.other JOIN d ON d.record_id = k.other), h AS (SELECT d.entity_id, d.record_id, EXISTS (SELECT 1 FROM r WHERE r.record_id = d.record_id AND r.t = upper(d.name)) OR EXISTS (SELECT 1 FROM b WHERE b.record_id = d.record_id AND b.entity_id = d.entity_id) AS hit FROM d), w AS (SELECT *, sum(CAST(NOT hit AS INT)) OVER (PARTITION BY record_id) AS remain FROM h) SELECT entity_id, record_id FROM w WHERE hit AND remain > 0")
+def demotion_by_key(spark, sf_dir):
+    """Denotations that fall as a reference field holds the name, or the key of another record that denotes the entity."""
+    return checks.demotions(sql_input(spark, sf_dir, _GROUPED), sql_input(spark, sf_dir, _POINTS), sql_input(spark, sf_dir, _OWN_KEYS))
+
+
+_TOLD = "SELECT CASE WHEN o_orderkey % 29 = 0 THEN ' ' ELSE 'rel' || CAST(o_orderkey AS STRING) END AS name, 'e' || CAST(o_custkey AS STRING) AS from_id, 'e' || CAST(o_custkey + o_orderkey % 7 AS STRING) AS to_id, 'told' AS claim, CAST(o_orderkey % 22 AS DOUBLE) / 20 AS confidence, o_orderkey AS ord FROM orders"
+
+
+@query(f"WITH {_REASONS}, l AS ({_TOLD}), p AS (SELECT DISTINCT entity_id FROM m), a AS (SELECT DISTINCT entity_id FROM m WHERE reason IS NULL), x AS (SELECT *, CASE WHEN trim(name) = '' THEN 'MissingField' WHEN NOT confidence BETWEEN 0 AND 1 THEN 'ConfidenceOutOfRange' WHEN ord % 31 = 0 THEN 'NoSource' WHEN from_id NOT IN (SELECT entity_id FROM p) OR to_id NOT IN (SELECT entity_id FROM p) THEN 'DanglingEndpoint' WHEN from_id NOT IN (SELECT entity_id FROM a) OR to_id NOT IN (SELECT entity_id FROM a) THEN 'EndpointRejected' END AS reason FROM l) SELECT 'Relation' AS kind, name AS element_id, reason, from_id || ' -> ' || to_id AS detail FROM x WHERE reason IS NOT NULL")
+def relation_rejections(spark, sf_dir):
+    """Relations with defects of their own or of their ends."""
+    e = proposed(spark, sf_dir)
+    told = sql_input(spark, sf_dir, _TOLD).withColumn("sources", F.when(F.col("ord") % 31 != 0, F.array(F.lit("r"))))
+    return checks.checked_relations(told, e, checks.checked_entities(e, sql_input(spark, sf_dir, _KEYS))[0])[1]

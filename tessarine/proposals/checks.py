@@ -73,15 +73,45 @@ def endpoint_rejections(relations: DataFrame, proposed: DataFrame, accepted: Dat
     return ends.select("name", "from_id", "to_id", F.when(dangling, "DanglingEndpoint").when(lost, "EndpointRejected").alias("reason"))
 
 
-def demotions(denotes: DataFrame, references: DataFrame) -> DataFrame:
-    """entity_id, record_id of denotations that fall: the record holds the entity's name in a declared reference field,
-    unless the record would then denote nothing.
+def relation_defect() -> Column:
+    """The first defect of a relation on its own, or null."""
+    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    return (
+        F.when(blank("name") | blank("from_id") | blank("to_id") | blank("claim"), "MissingField")
+        .when(F.col("confidence").isNull() | ~F.col("confidence").between(0.0, 1.0), "ConfidenceOutOfRange")
+        .when(F.coalesce(F.size("sources"), F.lit(0)) <= 0, "NoSource")
+    )
+
+
+def checked_relations(relations: DataFrame, proposed: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relations that stand, rejections): their own defects first, then those of their ends."""
+    marked = relations.withColumn("_own", relation_defect())
+    for end in ("from", "to"):
+        p = proposed.select(F.col("entity_id").alias(f"_p_{end}")).distinct()
+        a = accepted.select(F.col("entity_id").alias(f"_a_{end}")).distinct()
+        marked = marked.join(p, F.col(f"{end}_id") == F.col(f"_p_{end}"), "left").join(a, F.col(f"{end}_id") == F.col(f"_a_{end}"), "left")
+    dangling = F.col("_p_from").isNull() | F.col("_p_to").isNull()
+    lost = F.col("_a_from").isNull() | F.col("_a_to").isNull()
+    marked = marked.withColumn("_reason", F.coalesce("_own", F.when(dangling, "DanglingEndpoint").when(lost, "EndpointRejected")))
+    detail = F.concat(F.coalesce("from_id", F.lit("")), F.lit(" -> "), F.coalesce("to_id", F.lit("")))
+    rejected = marked.where("_reason IS NOT NULL").select(F.lit("Relation").alias("kind"), F.coalesce("name", F.lit("")).alias("element_id"), F.col("_reason").alias("reason"), detail.alias("detail"))
+    return marked.where("_reason IS NULL").select(*relations.columns), rejected
+
+
+def demotions(denotes: DataFrame, references: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """entity_id, record_id of denotations that fall: in a declared reference field the record holds the entity's name or, with
+    keys, the key of another record that denotes the entity too; unless the record would then denote nothing.
 
-    denotes: entity_id, name, record_id; references: record_id, value (of each declared reference field).
+    denotes: entity_id, name, record_id; references: record_id, value (of each declared reference field); keys: record_id, key.
     """
     held = references.select("record_id", denotation_text(F.col("value")).alias("_text")).where("_text <> ''").distinct()
     named = denotes.withColumn("_text", denotation_text(F.col("name")))
     hit = named.join(held.withColumn("_hit", F.lit(True)), ["record_id", "_text"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    if keys is not None:
+        others = keys.select(F.col("record_id").alias("_other"), denotation_text(F.col("key")).alias("_text")).where("_text <> ''").distinct()
+        also = denotes.select("entity_id", F.col("record_id").alias("_other"))
+        by_key = held.join(others, "_text").where("record_id <> _other").join(also, "_other").select("entity_id", "record_id").distinct().withColumn("_key_hit", F.lit(True))
+        hit = hit.join(by_key, ["entity_id", "record_id"], "left").withColumn("_hit", F.col("_hit") | F.coalesce("_key_hit", F.lit(False))).drop("_key_hit")
     over = Window.partitionBy("record_id")
     left = F.sum((~F.col("_hit")).cast("int")).over(over)
     return hit.withColumn("_left", left).where("_hit AND _left > 0").select("entity_id", "record_id")
