@@ -130,6 +130,13 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, closing
     return joined.mapInArrow(cut, PIECES + ", ids binary")
 
 
+def sequences(pieces: DataFrame, length: int = LENGTH, padding: int = CLOSING) -> DataFrame:
+    """sequence_id, n_tokens and ids (length of them, 32 bits each) of the pieces of pack(), padded at the end."""
+    parts = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("_parts"), F.sum("length").alias("n_tokens"))
+    joined = F.aggregate("_parts", F.lit(b""), lambda done, x: F.concat(done, x["ids"]))
+    return parts.select("sequence_id", "n_tokens", F.rpad(joined, 4 * length, F.lit(int(padding).to_bytes(4, "little"))).alias("ids"))
+
+
 def op1_curve_packing(spark, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")

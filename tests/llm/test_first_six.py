@@ -49,6 +49,17 @@ def test_pieces_hold_every_id_once(docs, none, texts_list):
     assert packing.pack(none).count() == 0
 
 
+def test_sequences_are_whole(docs):
+    pieces = packing.pack(docs).cache()
+    want = defaultdict(list)
+    for r in sorted(pieces.collect(), key=lambda r: (r.sequence_id, r.offset)):
+        want[r.sequence_id] += np.frombuffer(r.ids, "<u4").tolist()
+    got = {r.sequence_id: r for r in packing.sequences(pieces, padding=7).collect()}
+    assert sorted(got) == sorted(want)
+    for k, ids in want.items():
+        assert got[k].n_tokens == len(ids) and np.frombuffer(got[k].ids, "<u4").tolist() == ids + [7] * (1024 - len(ids))
+
+
 def test_hilbert_neighbours_are_one_step_apart():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = packing.hilbert_keys(cells, 3)
