@@ -18,7 +18,8 @@ The sort, first in every block before contexts travel and then in the tasks wher
   equal ones knows its smallest id.
 
 Skew: a block sends an entry for a gram that several of its documents hold, not one for each of them, so a hot gram costs its
-bucket one entry a block, and a hot passage its task one context a block. Grams with more contexts than HOT are split: each
+bucket one entry a block, and a hot passage its task one context a block. What repeats within a row (the the the the) sends
+one context too; the others fare as that one does. Grams with more contexts than HOT are split: each
 of their windows travels on its own, routed by a hash of all its bytes; results are the same.
 
 Nulls: a null text is empty; a null id counts as smaller than any other. Rows that share an id don't remove bytes of each
@@ -30,6 +31,7 @@ Long texts are read in pieces: one needs some ten times its bytes in a worker.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -50,6 +52,8 @@ BLOCK = 20_000_000
 _U = np.uint64
 _BASE = 0x5851F42D4C957F2D | 1
 _ONE, _MANY, _PAST = 0, 1, 2
+#: In place of the source of a span: it goes by itself.
+_GOES = -1
 #: Contexts that are sorted as a whole at once.
 RUN = 100_000
 
@@ -285,24 +289,25 @@ def _repeated_grams(blobs: DataFrame, hot: int) -> DataFrame:
     return blobs.mapInArrow(run, _FOUND)
 
 
-_CONTEXT = "route long, doc_id long, row_key int, begin long, size int, context binary"
+_CONTEXT = "route long, doc_id long, row_key int, begin long, size int, source long, context binary"
 
 
-def _rows(route, doc, key, begin, size, context: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(route), pa.array(doc), pa.array(key), pa.array(begin), pa.array(size.astype(np.int32)), context], names=["route", "doc_id", "row_key", "begin", "size", "context"])
+def _rows(route, doc, key, begin, size, source, context: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(route), pa.array(doc), pa.array(key), pa.array(begin), pa.array(size.astype(np.int32)), pa.array(np.broadcast_to(source, len(route)).astype(np.int64)), context], names=["route", "doc_id", "row_key", "begin", "size", "source", "context"])
 
 
-def _copies(route: np.ndarray, doc: np.ndarray, size: np.ndarray, padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _copies(route: np.ndarray, doc: np.ndarray, key: np.ndarray, size: np.ndarray, padded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorts whole contexts (rows of padded bytes) and compares adjacent ones: which equal one of a smaller id of their route,
-    and which contexts of a route with several different ones are left. Both as masks."""
+    which contexts of a route with several different ones are left (both as masks), and for each context the first equal one of
+    its own row."""
     n = len(route)
-    copy, left = np.zeros(n, bool), np.zeros(n, bool)
+    copy, left, first_own = np.zeros(n, bool), np.zeros(n, bool), np.arange(n)
     order = np.argsort(route, kind="stable")
     starts, group = _groups(route[order])
     some = order[(np.diff(np.append(starts, n)) > 1)[group]]  # routes with one context have nothing to compare
     if not len(some):
-        return copy, left
-    some = some[np.lexsort((doc[some], size[some], _text_ranks(padded[some]), route[some]))]
+        return copy, left, first_own
+    some = some[np.lexsort((key[some], doc[some], size[some], _text_ranks(padded[some]), route[some]))]
     same = np.zeros(len(some), bool)
     for f in range(1, len(some), 100_000):
         b = some[f : f + 100_000]
@@ -313,7 +318,10 @@ def _copies(route: np.ndarray, doc: np.ndarray, size: np.ndarray, padded: np.nda
     starts, group = _groups(route[some])
     different = np.add.reduceat((~same).astype(np.int64), starts) > 1
     left[some] = different[group]
-    return copy, left & ~copy
+    again = same.copy()  # as the one before, in the same row
+    again[1:] &= (doc[some[1:]] == doc[some[:-1]]) & (key[some[1:]] == key[some[:-1]])
+    first_own[some] = some[np.maximum.accumulate(np.where(again, 0, np.arange(len(some))))]
+    return copy, left & ~copy, first_own
 
 
 def _text_ranks(rows: np.ndarray) -> np.ndarray:
@@ -384,14 +392,16 @@ def _contexts(joined: DataFrame, length: int, gram: int) -> DataFrame:
                 if not len(route):
                     continue
                 rows = _padded(data, where, size, width)
-                copy, _ = _copies(route, d, size, rows)
-                if copy.any():
-                    # nothing to compare any more; spread over the tasks by document and place
+                copy, _, first = _copies(route, d, k, size, rows)
+                again = ~copy & (first != np.arange(len(first)))
+                if (told := copy | again).any():
+                    # nothing to compare any more: a span that goes, or one that fares as the first equal one of its row does;
+                    # spread over the tasks by document and place
                     with np.errstate(over="ignore"):
-                        spread = _mix(_mix(d[copy].astype(_U)) + begin[copy].astype(_U))
-                    yield _rows(spread.view(np.int64), d[copy], k[copy], begin[copy], size[copy], pa.nulls(int(copy.sum()), pa.binary()))
-                go = ~copy
-                yield _rows(route[go], d[go], k[go], begin[go], size[go], _binary(rows[go], size[go]))
+                        spread = _mix(_mix(d[told].astype(_U)) + begin[told].astype(_U))
+                    yield _rows(spread.view(np.int64), d[told], k[told], begin[told], size[told], np.where(copy, _GOES, begin[first])[told], pa.nulls(int(told.sum()), pa.binary()))
+                go = ~told
+                yield _rows(route[go], d[go], k[go], begin[go], size[go], _GOES, _binary(rows[go], size[go]))
 
     return joined.mapInArrow(run, _CONTEXT)
 
@@ -522,15 +532,16 @@ def repeated_windows(texts: list[bytes], ids: np.ndarray, length: int = LENGTH)
     return [x - b for x, b in zip(np.split(found, cut), begin, strict=True)]
 
 
-SPAN = "doc_id long, row_key int, begin long, size int"
+SPAN = "doc_id long, row_key int, begin long, size int, source long"
 
 
 def _sorted_repeats(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The spans of bytes that the sort finds repeated; contexts are sorted by route within their task."""
+    """The spans of bytes that the sort finds repeated, and those (source set) that fare as equal bytes of their row from source
+    on do; contexts are sorted by route within their task."""
     width = 2 * length - gram
 
     def spans(doc, key, begin, size) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(begin), pa.array(np.asarray(size).astype(np.int32))], names=["doc_id", "row_key", "begin", "size"])
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(begin), pa.array(np.asarray(size).astype(np.int32)), pa.array(np.full(len(doc), _GOES, np.int64))], names=["doc_id", "row_key", "begin", "size", "source"])
 
     def settled(whole: pa.Table):
         doc, key, begin, size, route = (whole.column(k).to_numpy() for k in ("doc_id", "row_key", "begin", "size", "route"))
@@ -538,7 +549,7 @@ def _sorted_repeats(contexts: DataFrame, length: int, gram: int) -> DataFrame:
         context = whole.column("context").combine_chunks()
         data = np.frombuffer(context.buffers()[2], np.uint8) if context.buffers()[2] is not None else np.zeros(0, np.uint8)
         offsets = np.frombuffer(context.buffers()[1], np.int32)[context.offset : context.offset + len(context) + 1].astype(np.int64)
-        copy, left = _copies(route, doc, size, _padded(data, offsets[:-1], size, width))
+        copy, left, _ = _copies(route, doc, key, size, _padded(data, offsets[:-1], size, width))
         if copy.any():
             yield spans(doc[copy], key[copy], begin[copy], size[copy])
         at = np.flatnonzero(left)
@@ -559,10 +570,10 @@ def _sorted_repeats(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            gone = pc.is_null(batch.column(5))
+            gone = pc.is_null(batch.column(6))
             done = batch.filter(gone)
             if done.num_rows:
-                yield done.select(["doc_id", "row_key", "begin", "size"])
+                yield done.select(["doc_id", "row_key", "begin", "size", "source"])
             batch = batch.filter(pc.invert(gone))
             while batch.num_rows:
                 # whole routes, as soon as some million bytes are at hand
@@ -577,7 +588,7 @@ def _sorted_repeats(contexts: DataFrame, length: int, gram: int) -> DataFrame:
                         held, size = [], 0
                     continue
                 held.append(batch.slice(0, 50_000))
-                size += held[-1].column(5).nbytes
+                size += held[-1].column(6).nbytes
                 batch = batch.slice(50_000)
         if held:
             yield from settled(pa.Table.from_batches(held))
@@ -591,6 +602,26 @@ def _runs(hits: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1] - x[0] + length)) for x in np.split(hits, cut)]
 
 
+def told_spans(begin: np.ndarray, size: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, size) of the spans that go: those that go by themselves, and for every other one what goes within the equal
+    bytes from its source on."""
+    own = source == _GOES
+    order = np.argsort(begin[own], kind="stable")
+    b, z = begin[own][order], size[own][order]
+    out_b, out_z = [b], [z]
+    rest = np.flatnonzero(~own)
+    rest = rest[np.lexsort((size[rest], source[rest]))]
+    starts, _ = _groups(source[rest], size[rest])
+    for f, to in itertools.pairwise([*starts.tolist(), len(rest)]):
+        at, low, n = begin[rest[f:to]], int(source[rest[f]]), int(size[rest[f]])
+        i, j = np.searchsorted(b, [low, low + n])
+        inside = b[i:j] + z[i:j] <= low + n
+        for x, k in np.unique(np.stack([b[i:j][inside] - low, z[i:j][inside]], axis=1), axis=0).tolist():
+            out_b.append(at + x)
+            out_z.append(np.full(len(at), k, np.int64))
+    return np.concatenate(out_b), np.concatenate(out_z)
+
+
 def kept_bytes(raw: bytes, begin: np.ndarray, size: np.ndarray) -> tuple[int, int, bytes]:
     """Bytes removed, maximal runs removed, and what is left when the spans go."""
     order = np.argsort(begin, kind="stable")
@@ -622,7 +653,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     contexts = _contexts(texts, length, gram).repartition(n, "route").sortWithinPartitions("route")
     spans = written(_sorted_repeats(contexts, length, gram), "repeat-spans")
     dropped(texts)
-    gone = spans.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("begin", "size")).alias("spans"))
+    gone = spans.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("begin", "size", "source")).alias("spans"))
     joined = own.join(gone, ["doc_id", "row_key"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
@@ -634,8 +665,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                     raw = t.as_py().encode()
                     removed, runs, kept = 0, 0, raw
                     if gaps.is_valid:
-                        begin, size = (gaps.values.field(k).to_numpy().astype(np.int64) for k in ("begin", "size"))
-                        removed, runs, kept = kept_bytes(raw, begin, size)
+                        begin, size = told_spans(*(gaps.values.field(k).to_numpy().astype(np.int64) for k in ("begin", "size", "source")))
+                        if len(begin):
+                            removed, runs, kept = kept_bytes(raw, begin, size)
                     for c, x in zip(rows, (None if doc == _NULL_ID else doc, len(raw), removed, runs, kept), strict=True):
                         c.append(x)
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())

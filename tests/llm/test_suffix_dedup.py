@@ -122,3 +122,14 @@ def test_copies_within_a_block_travel_once(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = {x.doc_id: (x.n_removed, x.n_spans) for x in S.remove_repeats(df).collect()}
     assert got == {0: (0, 0)} | {i: (400, 1) for i in range(1, 200)}
+
+
+def test_runs_within_a_text_travel_once(spark):
+    """Periodic text: each distinct context of a row is sent once, and the result is that of brute force."""
+    r = random.Random(9)
+    words = ["the ", "of of ", "x", "an an and "]
+    rows = [(i, "".join(r.choice(words) * r.choice([1, 20, 60]) for _ in range(6))) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for hot in (1, 50, 50_000):
+        got = Counter(tuple(x if not isinstance(x, bytearray) else bytes(x) for x in t) for t in S.remove_repeats(df, hot=hot).collect())
+        assert got == Counter(brute(rows, 50))
