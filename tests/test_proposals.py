@@ -44,6 +44,11 @@ def test_closure_with_a_cycle(spark):
     assert sorted(map(tuple, got)) == sorted([(x, y) for x in "abc" for y in "abc" if x != y] + [("d", y) for y in "abc"])
 
 
+def test_closure_of_a_long_chain(spark):
+    got = declared.super_types(spark.createDataFrame([(f"k{i:03d}", f"k{i + 1:03d}") for i in range(120)], "sub string, super string").coalesce(1))
+    assert got.count() == 121 * 120 // 2  # more links than rounds are allowed
+
+
 def test_recovered_labels(spark):
     r = spark.createDataFrame([("placedBy (Order -> Customer)",), ("other",)], "name string").coalesce(1)
     lines = spark.createDataFrame([("placedBy (Order -> Customer)", "placedBy")], "line string, name string")
