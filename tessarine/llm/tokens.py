@@ -9,7 +9,6 @@ times its own size (a text without blanks can't be cut, and needs some fifty tim
 
 from __future__ import annotations
 
-import base64
 import os
 from functools import cache
 from itertools import chain
