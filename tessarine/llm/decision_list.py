@@ -45,9 +45,9 @@ def with_counts(docs: DataFrame) -> DataFrame:
     size = F.size(words_)
     # the windows' hashes beside their places, sorted: equal windows are neighbours
     windows = F.when(size >= 3, F.transform(F.sequence(F.lit(0), size - 3), lambda i: F.struct(third(F.col(words_), i).alias("h"), i.alias("i"))))
-    out = out.withColumn(windows_, F.array_sort(windows))
+    out = out.withColumn(windows_, F.sort_array(windows))
     twice = F.filter(windows_, lambda x, k: F.coalesce(F.get(F.col(windows_), k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(F.col(windows_), k + 1)["h"] == x["h"], F.lit(False)))
-    out = out.withColumn(starts_, F.array_sort(F.transform(twice, lambda x: x["i"])))
+    out = out.withColumn(starts_, F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(F.transform(starts_, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col(starts_), k + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
     chars = F.length(text)
     out = out.withColumns(
