@@ -19,8 +19,9 @@ The sort, first in every block before contexts travel and then in the tasks wher
 
 Skew: a block sends an entry for a gram that several of its documents hold, not one for each of them, so a hot gram costs its
 bucket one entry a block, and a hot passage its task one context a block. What repeats within a row (the the the the) sends
-one context too; the others fare as that one does. Grams with more contexts than HOT are split: each
-of their windows travels on its own, routed by a hash of all its bytes; results are the same.
+one context too; the others fare as that one does. Grams with more contexts than HOT are split: each window of the contexts
+that would travel goes on its own, routed by a hash of all its bytes; results are the same. As a split context costs many
+rows, HOT counts contexts that blocks would send, not the anchors, whose number grows with the corpus for every passage.
 
 Nulls: a null text is empty; a null id counts as smaller than any other. Rows that share an id don't remove bytes of each
 other; each keeps its own result (they are told apart by a hash of the text). Texts shorter than `length` lose nothing. What
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import dropped, whole_text, written
 
 LENGTH, GRAM = 50, 24
-#: Contexts of one gram beyond which its windows are routed one by one.
+#: Contexts of one gram, copies within a block not counted, beyond which its windows are routed one by one.
 HOT = 50_000
 _NULL_ID = -(2**63)
 _SLICE = 1_000_000
@@ -144,7 +145,7 @@ def _from_planes(raw: np.ndarray, size: int) -> np.ndarray:
 
 
 def _packed(kind: int, bucket: int, gram: np.ndarray, doc: np.ndarray, number: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> bytes:
-    """Anchors of one bucket (number: their places), or grams (number: how many anchors), as compressed columns.
+    """Anchors of one bucket (number: their places), or grams (number: how many contexts), as compressed columns.
 
     gram has 40 bits and ascends; doc points into ids and keys.
     """
@@ -180,12 +181,41 @@ def _text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def _span_marks(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of every data[begin : begin + size], by words of 8 bytes; the last one ends with its span."""
+    out = size.astype(_U)
+    if len(out):
+        words = np.lib.stride_tricks.sliding_window_view(data, 8)
+        with np.errstate(over="ignore"):
+            for k in range(0, int(size.max()), 8):
+                out = _mix(out + words[begin + np.minimum(k, size - 8)].view("<u8")[:, 0])
+    return out
+
+
+def contexts_sent(group: np.ndarray, marks: np.ndarray, row: np.ndarray, own: np.ndarray, groups: int) -> np.ndarray:
+    """How many contexts each group sends: of equal ones (equal marks) those of the smallest id, once a row.
+
+    It only decides how grams are routed, so marks that clash do no harm.
+    """
+    bits = _U(64 - int(groups).bit_length())
+    key = group.astype(_U) << bits | marks >> (_U(64) - bits)
+    order = np.lexsort((row, key))
+    key, row, own = key[order], row[order], own[order]
+    starts, same = _groups(key)
+    if not len(starts):
+        return np.zeros(groups, np.int64)
+    goes = own == np.minimum.reduceat(own, starts)[same]
+    goes[1:] &= (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    return np.bincount((key[goes] >> bits).astype(np.int64), minlength=groups)
+
+
 def _anchor_blobs(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
     """bucket, blob: the anchors of every block of rows by bucket.
 
-    Of grams that several documents of the block hold, the bucket gets one entry (_MANY); their anchors need no decision and
-    travel elsewhere (_PAST).
+    Of grams that several documents of the block hold, the bucket gets one entry (_MANY) with the number of contexts that the
+    block would send for it; their anchors need no decision and travel elsewhere (_PAST).
     """
+    w = length - gram + 1
 
     def blocks(batches):
         """The batches, cut so that a block holds some BLOCK bytes of text."""
@@ -200,7 +230,8 @@ def _anchor_blobs(docs: DataFrame, buckets: int, length: int, gram: int) -> Data
     def run(batches):
         for block, batch in enumerate(blocks(batches)):
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            found = list(all_anchors(*_text_bytes(batch.column(2)), length, gram))
+            data, offsets = _text_bytes(batch.column(2))
+            found = list(all_anchors(data, offsets, length, gram))
             if not found:
                 continue
             g, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -214,8 +245,10 @@ def _anchor_blobs(docs: DataFrame, buckets: int, length: int, gram: int) -> Data
             starts, group = _groups(bucket, g)
             own = ids[doc]
             many = np.maximum.reduceat(own, starts) != np.minimum.reduceat(own, starts)
-            size = np.diff(np.append(starts, len(g)))
             past = many[group]
+            of, begin = doc[past], np.maximum(0, at[past] - w + 1)
+            size = np.minimum(np.diff(offsets)[of], at[past] + length) - begin
+            sent = contexts_sent(group[past], _span_marks(data, offsets[of] + begin, size), of, own[past], len(starts))
             edges, firsts = np.searchsorted(bucket, np.arange(buckets + 1)), np.searchsorted(bucket[starts], np.arange(buckets + 1))
             out_b, out = [], []
             for b in range(buckets):
@@ -227,7 +260,7 @@ def _anchor_blobs(docs: DataFrame, buckets: int, length: int, gram: int) -> Data
                 if m.any():
                     head = starts[f][m]
                     out_b.append(b)
-                    out.append(_packed(_MANY, b, g[head], doc[head], size[f][m], ids, keys))
+                    out.append(_packed(_MANY, b, g[head], doc[head], sent[f][m], ids, keys))
                     out_b.append((b + block * 7919 + int(head[0])) % buckets)
                     out.append(_packed(_PAST, b, g[s][k], doc[s][k], at[s][k], ids, keys))
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "blob"])
@@ -340,9 +373,11 @@ def _text_ranks(rows: np.ndarray) -> np.ndarray:
 
 def _padded(data: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
     """data[begin : begin + size] as rows of width bytes."""
-    at = np.arange(width)
-    inside = at < size[:, None]
-    return np.where(inside, data[np.where(inside, begin[:, None] + at, 0)], 0).astype(np.uint8)
+    out, at = np.zeros((len(begin), width), np.uint8), np.arange(width)
+    for f in range(0, len(begin), 50_000):  # the places take 8 bytes for each byte
+        inside = at < size[f : f + 50_000, None]
+        out[f : f + 50_000] = np.where(inside, data[np.where(inside, begin[f : f + 50_000, None] + at, 0)], 0)
+    return out
 
 
 def _binary(rows: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -352,56 +387,67 @@ def _binary(rows: np.ndarray, size: np.ndarray) -> pa.Array:
 
 
 def _contexts(joined: DataFrame, length: int, gram: int) -> DataFrame:
-    """The contexts of the anchors, those of hot grams cut to windows; copies within a run of contexts come without bytes."""
+    """The contexts of the anchors; copies within a run of contexts come without bytes, and only what is left of those of hot
+    grams is cut to windows."""
     w = length - gram + 1
     width = length + w - 1
 
-    def pieces(data, offsets, doc, key, todo):
-        """(route, doc, key, place in data, begin, size) of the contexts of some anchors."""
+    def pieces(offsets, doc, key, todo):
+        """(route, hot, doc, key, place in data, begin, size) of the contexts of some anchors."""
         of = np.repeat(np.arange(len(doc)), np.diff(todo.offsets.to_numpy()))
         first = todo.offsets[0].as_py()
         flat = todo.values.slice(first, len(of))
         place, route, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("place", "route", "hot"))
         for f in range(0, len(of), RUN):
-            o, p, r, h = (x[f : f + RUN] for x in (of, place, route, hot))
+            o, p = of[f : f + RUN], place[f : f + RUN]
             begin = np.maximum(0, p - w + 1)
             size = np.minimum(offsets[o + 1] - offsets[o], p + length) - begin
-            cold = ~h
-            yield r[cold], doc[o[cold]], key[o[cold]], offsets[o[cold]] + begin[cold], begin[cold], size[cold]
-            if h.any():
-                n = size[h] - length + 1
-                at = np.repeat(np.arange(int(h.sum())), n)
-                step = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                o2, start = o[h][at], begin[h][at] + step
-                for k in range(0, len(at), RUN):
-                    q = slice(k, k + RUN)
-                    where = offsets[o2[q]] + start[q]
-                    words = _padded(data, where, np.full(len(where), length), -(-length // 8) * 8).view("<u8")
-                    whole = np.zeros(len(where), _U)
-                    with np.errstate(over="ignore"):
-                        for c in range(words.shape[1]):
-                            whole = _mix(whole + words[:, c] + _U(0x9E3779B97F4A7C15))
-                    yield whole.view(np.int64), doc[o2[q]], key[o2[q]], where, start[q], np.full(len(where), length, np.int64)
+            yield route[f : f + RUN], hot[f : f + RUN], doc[o], key[o], offsets[o] + begin, begin, size
+
+    def told(doc, key, begin, size, source) -> pa.RecordBatch:
+        """Spans with nothing to compare any more, spread over the tasks by document and place."""
+        with np.errstate(over="ignore"):
+            spread = _mix(_mix(doc.astype(_U)) + begin.astype(_U))
+        return _rows(spread.view(np.int64), doc, key, begin, size, source, pa.nulls(len(doc), pa.binary()))
+
+    def windows(data, doc, key, where, begin, size):
+        """Each window of the contexts, routed by its bytes. A window of two contexts goes once; those that a smaller id of
+        the run has too go by themselves. None is told to fare as another: a context may be told to fare as these."""
+        n = size - length + 1
+        at = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        _, once = np.unique(where[at] + step, return_index=True)
+        at, step = at[once], step[once]
+        for f in range(0, len(at), RUN):
+            a, s = at[f : f + RUN], step[f : f + RUN]
+            sizes = np.full(len(a), length, np.int64)
+            rows = _padded(data, where[a] + s, sizes, -(-length // 8) * 8)
+            words, whole = rows.view("<u8"), np.zeros(len(a), _U)
+            with np.errstate(over="ignore"):
+                for c in range(words.shape[1]):
+                    whole = _mix(whole + words[:, c] + _U(0x9E3779B97F4A7C15))
+            route, d, k, start = whole.view(np.int64), doc[a], key[a], begin[a] + s
+            copy, _, _ = _copies(route, d, k, sizes, rows)
+            if copy.any():
+                yield told(d[copy], k[copy], start[copy], sizes[copy], _GOES)
+            go = ~copy
+            yield _rows(route[go], d[go], k[go], start[go], sizes[go], _GOES, _binary(rows[go], sizes[go]))
 
     def run(batches):
         for batch in batches:
             data, offsets = _text_bytes(batch.column(batch.schema.names.index("text")))
             doc, key = (batch.column(batch.schema.names.index(k)).to_numpy() for k in ("doc_id", "row_key"))
             todo = batch.column(batch.schema.names.index("todo"))
-            for route, d, k, where, begin, size in pieces(data, offsets, doc, key, todo):
-                if not len(route):
-                    continue
+            for route, hot, d, k, where, begin, size in pieces(offsets, doc, key, todo):
                 rows = _padded(data, where, size, width)
                 copy, _, first = _copies(route, d, k, size, rows)
-                again = ~copy & (first != np.arange(len(first)))
-                if (told := copy | again).any():
-                    # nothing to compare any more: a span that goes, or one that fares as the first equal one of its row does;
-                    # spread over the tasks by document and place
-                    with np.errstate(over="ignore"):
-                        spread = _mix(_mix(d[told].astype(_U)) + begin[told].astype(_U))
-                    yield _rows(spread.view(np.int64), d[told], k[told], begin[told], size[told], np.where(copy, _GOES, begin[first])[told], pa.nulls(int(told.sum()), pa.binary()))
-                go = ~told
-                yield _rows(route[go], d[go], k[go], begin[go], size[go], _GOES, _binary(rows[go], size[go]))
+                done = copy | (first != np.arange(len(first)))
+                if done.any():  # a span that goes, or one that fares as the first equal one of its row does
+                    yield told(d[done], k[done], begin[done], size[done], np.where(copy, _GOES, begin[first])[done])
+                if (go := ~done & ~hot).any():
+                    yield _rows(route[go], d[go], k[go], begin[go], size[go], _GOES, _binary(rows[go], size[go]))
+                if (cut := ~done & hot).any():
+                    yield from windows(data, d[cut], k[cut], where[cut], begin[cut], size[cut])
 
     return joined.mapInArrow(run, _CONTEXT)
 

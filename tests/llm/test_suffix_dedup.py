@@ -133,3 +133,46 @@ def test_runs_within_a_text_travel_once(spark):
     for hot in (1, 50, 50_000):
         got = Counter(tuple(x if not isinstance(x, bytearray) else bytes(x) for x in t) for t in S.remove_repeats(df, hot=hot).collect())
         assert got == Counter(brute(rows, 50))
+
+
+def test_copies_do_not_make_a_gram_hot(spark):
+    """HOT counts the contexts that travel: a passage in many documents, whose contexts are all alike, is not cut to windows."""
+    r = random.Random(7)
+    passage, rows = "".join(r.choice("abcdefgh ") for _ in range(300)), []
+    for i in range(120):
+        own = "".join(r.choice("ijklmnop ") for _ in range(80))
+        rows.append((i, 1, own + passage))
+    own = spark.createDataFrame(rows, "doc_id long, row_key int, text string").repartition(3)
+    found = S._repeated_grams(S._anchor_blobs(own, 4, 50, 24).coalesce(1), 50).collect()
+    assert len(found) > 120 * 10
+    hot = {x.route for x in found if x.place < 0}
+    alike = {x.route for x in found if x.place >= 80 + 26}  # their contexts lie within the passage
+    assert alike and not alike & hot
+    assert hot  # those over its start differ from document to document
+
+
+def test_contexts_sent_is_brute_force():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 500):
+        group, row, ids = np.sort(r.integers(0, 9, n)), r.integers(0, 40, n), r.integers(0, 12, 40)
+        marks = np.array([3, 2**63, 2**64 - 1], np.uint64)[r.integers(0, 3, n)]
+        want = [0] * 9
+        for g in range(9):
+            for m in set(marks[group == g].tolist()):
+                rows = set(row[(group == g) & (marks == m)].tolist())
+                want[g] += sum(ids[x] == min(ids[list(rows)]) for x in rows)
+        assert S.contexts_sent(group, marks, row, ids[row], 9).tolist() == want
+
+
+def test_equal_contexts_of_hot_grams_travel_once(spark):
+    """Only contexts left over are cut to windows; each window of a document goes once."""
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(400))
+    todo = "todo array<struct<place: long, route: long, hot: boolean>>"
+    rows = [(i, 1, passage, [(p, p, True) for p in (100, 110, 120)]) for i in range(50)]
+    df = spark.createDataFrame(rows, f"doc_id long, row_key int, text string, {todo}").coalesce(1)
+    got = S._contexts(df, 50, 24).collect()
+    bare = [x for x in got if x.context is None]
+    assert len(bare) == 49 * 3 and all(x.doc_id > 0 and x.size == 76 for x in bare)
+    sent = sorted(x.begin for x in got if x.context is not None)
+    assert sent == list(range(74, 121)) and all(bytes(x.context) == passage[x.begin : x.begin + 50].encode() for x in got if x.context is not None)
