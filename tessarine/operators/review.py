@@ -195,8 +195,11 @@ def stratified_estimate(scores: DataFrame, populations: DataFrame) -> DataFrame:
     return sums.select(mean.alias("estimate"), se.alias("standard_error"), (mean - F.lit(Z) * se).alias("low"), (mean + F.lit(Z) * se).alias("high"), "n_scored", "stratum_too_small", "stratum_is_census", "no_variation")
 
 
-def rescaling_bootstrap(strata: list[tuple[int, list[float]]], replicates: int = 2000, seed: int = 1) -> tuple[float, float]:
-    """The percentile interval of the stratified mean: n - 1 draws a stratum, shrunk by the root of 1 - f."""
+def rescaling_bootstrap(strata: list[tuple[int, list[float]]], replicates: int = 2000, seed: int = 1, most: int = 1_000_000) -> tuple[float, float]:
+    """The percentile interval of the stratified mean: n - 1 draws a stratum, shrunk by the root of 1 - f.
+
+    Replicates are drawn in slices of about `most` draws; the stream of random numbers, and so the result, doesn't depend on it.
+    """
     rng = np.random.default_rng(seed)
     total = sum(n for n, _ in strata)
     out = np.zeros(replicates)
@@ -206,7 +209,8 @@ def rescaling_bootstrap(strata: list[tuple[int, list[float]]], replicates: int =
         if k < 2 or k >= n:
             out += n / total * mean
             continue
-        draws = x[rng.integers(0, k, (replicates, k - 1))].mean(1)
+        rows = max(1, most // (k - 1))
+        draws = np.concatenate([x[rng.integers(0, k, (min(rows, replicates - i), k - 1))].mean(1) for i in range(0, replicates, rows)])
         out += n / total * (mean + math.sqrt(1 - k / n) * (draws - mean))
     return float(np.quantile(out, 0.025)), float(np.quantile(out, 0.975))
 

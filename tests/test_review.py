@@ -81,3 +81,17 @@ def test_record_scores(spark):
     assert got["d"].excluded and got["d"].review_precision is None and (got["d"].recall_low, got["d"].recall_high) == (0.5, 1.0)
     sample = spark.createDataFrame([("a",), ("d",)], "record_id string")
     assert R.missing_verdicts(sample, clusters, verdicts).count() == 0
+
+
+def test_bootstrap_draws_in_slices():
+    import tracemalloc
+
+    strata = [(90_000, [1.0, 0.0, 0.0] * 1_000), (50, [0.25, 1.0, 0.0]), (9_000, [0.5, 1.0] * 400)]
+    whole = R.rescaling_bootstrap(strata, 400, most=10**9)
+    assert all(R.rescaling_bootstrap(strata, 400, most=n) == whole for n in (1, 7_001, 1_000_000))
+    tracemalloc.start()
+    try:
+        R.rescaling_bootstrap([(10**6, [1.0, 0.0] * 10_000)], 500)
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
