@@ -16,7 +16,12 @@ Z = 1.96
 
 def stratify(clusters: DataFrame, ambiguous: DataFrame) -> DataFrame:
     """record_id, cluster_id, stratum: in an ambiguous pair (id_a, id_b), else in a cluster of two and more, else alone."""
-    contested = ambiguous.select(F.explode(F.array("id_a", "id_b")).alias("record_id")).distinct().withColumn("_contested", F.lit(True))
+    return strata_of(clusters, ambiguous.select(F.explode(F.array("id_a", "id_b")).alias("record_id")).distinct())
+
+
+def strata_of(clusters: DataFrame, contested: DataFrame) -> DataFrame:
+    """The same from the records that are in an ambiguous pair, once each."""
+    contested = contested.withColumn("_contested", F.lit(True))
     sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("_size"))
     joined = clusters.join(contested, "record_id", "left").join(sizes, "cluster_id")
     stratum = F.when(F.col("_contested").isNotNull(), CONTESTED).when(F.col("_size") >= 2, CLEAN).otherwise(SINGLETON)
