@@ -9,7 +9,7 @@ from ..operators import blocking, cluster, compare, estimate, grounding, metrics
 from ..proposals import chain, checks, confidence, turtle
 from ..sources import readers, variants
 from . import linkage
-from .catalogue import _BASE, _CHAIN, _KEYS, _LABELLED, _NAME, _PARTS, _PRIOR, _REASONS, _TOKS, M, PART_FIELDS, _llr, _scored, _u, chained, labelled_patterns, parts, proposed, query, rounded, scored_parts, sql_input, table
+from .catalogue import _BASE, _CHAIN, _KEYS, _LABELLED, _NAME, _PARTS, _PRIOR, _REASONS, _TOKS, M, PART_FIELDS, _llr, _scored, _u, chained, first_gray, labelled_patterns, parts, proposed, query, rounded, sql_input, table
 
 # ---------------------------------------------------------------- sources and declarations
 
@@ -248,10 +248,7 @@ def confirmed_identity(spark, sf_dir):
 @query(f"WITH {_scored()}, o AS (SELECT 0 AS kind, id_a, id_b, round(llr, 9) AS llr FROM scored WHERE cls = 'GrayZone' UNION ALL SELECT 1, id_b, id_a, round(llr - 0.5, 9) FROM scored WHERE cls = 'GrayZone') SELECT kind, id_a, id_b, round(llr, 6) AS llr FROM (SELECT * FROM o ORDER BY o.llr DESC, kind, id_a, id_b LIMIT 300)")
 def gray_budget_shared(spark, sf_dir):
     """A budget of 300 shared by undecided pairs and undecided candidates; the limit is the feature."""
-    gray = scored_parts(spark, sf_dir).where(F.col("cls") == score.GRAY)
-    own = gray.select("id_a", "id_b", F.round("llr", 9).alias("llr"))
-    candidates = gray.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), F.round(F.col("llr") - F.lit(0.5), 9).alias("llr"))
-    return rounded(score.gray_budget(own, candidates, 300).select("kind", "id_a", "id_b", "llr"), "llr")
+    return rounded(first_gray(spark, sf_dir, 300, {0: 0.0, 1: -0.5}).select("kind", "id_a", "id_b", "llr"), "llr")
 
 
 @query(f"WITH c AS ({_CHAIN}), n AS (SELECT key, first(name ORDER BY ord) AS name, first(type ORDER BY ord) AS type, list('r' || CAST(ord AS STRING)) AS records FROM c WHERE m = 2 GROUP BY key), b AS (SELECT 'k' || CAST(c_custkey AS STRING) AS key, c_name AS name, c_mktsegment AS type, ['old' || CAST(c_nationkey AS STRING), 'r' || CAST(c_custkey AS STRING)] AS records FROM customer), u AS (SELECT key, coalesce(b.name, n.name) AS name, coalesce(b.type, n.type) AS type, list_sort(list_distinct(list_concat(coalesce(b.records, []), coalesce(n.records, [])))) AS records FROM b FULL JOIN n USING (key)) SELECT key, name, type, array_to_string(records, ',') AS records FROM u WHERE key NOT IN (SELECT key FROM c WHERE m = 0)")
