@@ -17,6 +17,13 @@ def clamped(c: Column) -> Column:
     return F.least(F.lit(1 - EDGE), F.greatest(F.lit(EDGE), c))
 
 
+def cited_pairs(entities: DataFrame) -> DataFrame:
+    """id_a, id_b: the pairs of records, the smaller first, that some entity cites together; fused() reads no others."""
+    cited = F.array_sort(F.array_distinct(F.filter("sources", lambda s: s.isNotNull())))
+    some = entities.select(cited.alias("_s")).select("_s", F.posexplode("_s").alias("_i", "id_a"))
+    return some.select("id_a", F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s"))).alias("id_b")).distinct()
+
+
 def fused(entities: DataFrame, pairs: DataFrame, clusters: DataFrame, prior: float) -> DataFrame:
     """entity_id, confidence, fused from the pairs among the records an entity cites.
 
